@@ -41,7 +41,7 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), n, lo + 16384)
         yield lo, hi
         lo = hi
 

@@ -46,7 +46,7 @@ def stem(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """Parts of a comma list, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def whole_number(c: Column) -> Column:

@@ -47,7 +47,7 @@ def reconcile(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
         F.when(hit, reason).otherwise(F.col("reason")).alias("reason"),
         hit.cast("int").alias("seq"),
     )
-    known = real.select(F.regexp_replace("real", "^(package|module):", "placeholder:$1:").alias("id"))
+    known = real.where("real like 'package:%' or real like 'module:%'").select(F.regexp_replace("real", "^(package|module):", "placeholder:$1:").alias("id"))
     return nodes.join(known, "id", "left_anti"), upsert_edges(moved).select(*edges.columns)
 
 

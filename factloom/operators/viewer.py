@@ -112,7 +112,7 @@ def related(candidates: DataFrame, limit: int = 8) -> DataFrame:
 def source_block(files: DataFrame, source_file: str, ranges: str) -> DataFrame:
     """(sourceFile, block): the lines of a range, numbered; ``files`` has sourceFile and content."""
     f = files.where(F.col("sourceFile") == source_file).withColumn("r", line_range(F.lit(ranges)))
-    lines = f.select("sourceFile", "r", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\n")).alias("i", "line"))
+    lines = f.select("sourceFile", "r", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("i", "line"))
     lines = lines.where("i + 1 between r.startLine and r.endLine")
     text = F.concat(F.lpad((F.col("i") + 1).cast("string"), 4, " "), F.lit("  "), "line")
     return lines.groupBy("sourceFile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"]), "\n").alias("block"))

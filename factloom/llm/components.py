@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, wait: bool = False) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local run)
-    a temporary folder is made for it.
+    a temporary folder is made for it. ``wait`` for large shuffles, whose files should be gone
+    before the next ones are written.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(_folder(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    release(context, wait)
+    return out
+
+
+def release(context: SparkContext, wait: bool = False) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The bridge between Python and the JVM and the listeners of finished jobs let go a little
+    later: what one call leaves the next one frees, or, with ``wait``, this one after a pause."""
+    gc.collect()
+    context._jvm.System.gc()
+    if wait:
+        time.sleep(1.5)
+        context._jvm.System.gc()
 
 
 def _folder(spark: SparkSession) -> str:
@@ -41,8 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(around, labels["id"] == around["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = settle(new)
-        up = new.select(F.col("id").alias("k"), F.col("label").alias("higher"))
+        up = labels.select(F.col("id").alias("k"), F.col("label").alias("higher"))
         jumped = new.join(up, new["label"] == up["k"], "left").select("id", F.least("label", F.coalesce("higher", "label")).alias("label"), "old")
         labels = settle(jumped)
         if not labels.where("label <> old").limit(1).count():

@@ -26,6 +26,7 @@ row (equal rows equal ones); an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,9 @@ from .textops import U64, chunks, flat, prefix_hash, span_hash
 ANCHOR = 20
 #: Bytes of contexts in a shard whose transform is built on its own.
 SHARD = 1 << 15
-_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("s", "<u4"), ("n", "<u2"), ("d", "<u4")])
+#: Symbols of a suffix that its entry carries, from which the first interleave is made.
+SEED = 6
+_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("s", "<u4"), ("n", "<u2"), ("p", "<u2"), ("d", "<u4")])
 TOP = (1 << 63) - 1
 
 
@@ -48,11 +51,11 @@ TOP = (1 << 63) - 1
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, size, anchor hash and own hash of every context of the chunk."""
+    """Document, start in it, size, anchor's place in it, anchor hash and own hash of every context."""
     n, width = len(data), length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64), none.astype(U64)
     prefix = prefix_hash(data)
     at = np.arange(n - ANCHOR + 1)
     anchor = span_hash(prefix, at, at + ANCHOR)
@@ -70,11 +73,11 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     valid = start + length <= offsets[doc + 1]
     start, place, doc = start[valid], place[valid], doc[valid]
     if not len(start):
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64), none.astype(U64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
     end = np.append(new[1:], len(start)) - 1
     a, b = start[new], start[end] + length
-    return doc[new], a - offsets[doc[new]], b - a, anchor[place[new]], span_hash(prefix, a, b)
+    return doc[new], a - offsets[doc[new]], b - a, place[new] - a, anchor[place[new]], span_hash(prefix, a, b)
 
 
 def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +134,9 @@ def _emit(length: int, buckets: int):  # noqa: ANN202
             data, offsets = flat(batch["text"])
             ids = np.stack([batch["doc_id"].to_numpy(zero_copy_only=False), batch["row_key"].to_numpy(zero_copy_only=False)], 1).astype(np.int64)
             for a, b in chunks(offsets):
-                doc, start, n, h, c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                doc, start, n, p, h, c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 e = np.zeros(len(doc), _ENTRY)
-                e["h"], e["c"], e["s"], e["n"], e["d"] = h >> U64(32), c, start, n, doc
+                e["h"], e["c"], e["s"], e["n"], e["p"], e["d"] = h >> U64(32), c, start, n, p, doc
                 held.append((ids[a:b], e))
                 size += len(e)
                 if size > 1_500_000:
@@ -147,7 +150,7 @@ def _emit(length: int, buckets: int):  # noqa: ANN202
 
 def _settle_bucket(table: pa.Table) -> pa.Table:
     """All contexts of a bucket: (doc_id, row_key, covers, open) per document. Covered contexts are
-    (start, size); open ones, whose anchor has other contexts elsewhere, (anchor, start, size)."""
+    (start, size); open ones, whose anchor has other contexts elsewhere, (anchor, start, size, place of the anchor)."""
     ids, parts, flags, base = [], [], [], 0
     for covers, docs, entries in zip(table["covers"].to_pylist(), table["docs"].to_pylist(), table["entries"].to_pylist(), strict=True):
         d = np.frombuffer(docs, "<i8").reshape(-1, 2)
@@ -180,7 +183,7 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
         for a, b in zip(cut, [*cut[1:], len(what)], strict=True) if len(what) else ():
             cols = [what["s"][a:b].astype("<u4"), what["n"][a:b].astype("<u4")]
             if name == "open":
-                cols.insert(0, what["h"][a:b].astype("<u4"))
+                cols = [what["h"][a:b].astype("<u4"), *cols, what["p"][a:b].astype("<u4")]
             out.setdefault(int(what["d"][a]), {})[name] = np.stack(cols, 1).tobytes()
     at = np.array(list(out), np.int64)
     return pa.table({
@@ -192,45 +195,67 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
 # ---- transforms ---------------------------------------------------------------------------
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multi-string Burrows-Wheeler transform of one shard: symbols (0 ends a string, byte + 1
-    otherwise), and the string and place in it of each entry's suffix. Ends order by string."""
+def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Multi-string Burrows-Wheeler transform of one shard: of each entry the two symbols before its
+    suffix as one number and the suffix's first symbols as another (0 ends a string, byte + 1
+    otherwise), and the string and place in it. Ends order by string."""
     sizes = np.array([len(s) for s in strings])
     raw = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
     raw[ends] = 0
-    rank, n, step = raw + len(strings), len(raw), 1
-    rank[ends] = np.arange(len(strings))
+    n = len(raw)
     which = np.repeat(np.arange(len(strings)), sizes + 1)
-    place = np.arange(n) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    place = np.arange(n) - np.repeat(ends - sizes, sizes + 1)
+    head = np.zeros(n, np.int64)
+    live = np.ones(n, bool)
+    for k in range(SEED):  # nine bits a symbol; nothing beyond an end counts
+        at = np.minimum(np.arange(n) + k, ends[which])
+        head = head << 9 | np.where(live, raw[at], 0)
+        live &= raw[at] > 0
+    # ends are told apart by string, everything else by its symbols
+    key, step = head * 1, SEED
+    key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    tail = np.where(ends[which] - np.arange(n) < SEED, which + 1, 0)
+    key = key * (len(strings) + 1) + tail
     while True:
-        after = np.minimum(np.arange(n) + step, ends[which])  # an end is unique, so nothing beyond it counts
-        key = rank * (n + 257 + len(strings)) + rank[after]
         order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank, step = new, step * 2
+        ranked = key[order]
+        rank = np.zeros(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
         if rank.max() == n - 1 or step > sizes.max() + 1:
             break
-    order = np.argsort(rank, kind="stable")
-    symbol = np.where(place[order] > 0, raw[order - 1], 0).astype(np.uint16)
-    return symbol, which[order], place[order]
+        key = rank * (n + 1) + rank[np.minimum(np.arange(n) + step, ends[which])]
+        step *= 2
+    round_ = (sizes + 1)[which]  # strings are read in circles, end symbol and all
+    back = lambda k: raw[np.arange(n) - place + (place - k) % round_]
+    before, two = back(1), back(2)
+    return (two[order] * 257 + before[order]).astype(np.uint32), head[order], which[order], place[order]
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[tuple[np.ndarray, ...]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave the shards' transforms, right for prefixes of ``depth`` symbols.
 
     Returns, in merged order, the shard of each entry, its place in that shard's transform, and the
-    number of its interval of equal ``depth``-prefixes. Prefixes that reach a string's end are
-    compared through the end symbol into the string before, so callers leave such entries out.
+    number of its interval of equal ``depth``-prefixes. The first interleave merges the shards'
+    sorted lists on their first SEED symbols; each round then adds the two symbols before a suffix.
+    Prefixes that reach a string's end are compared through the end symbol into what its order
+    says, so callers leave such entries out.
     """
     size = np.array([len(s[0]) for s in shards])
     begin = np.cumsum(size) - size
-    symbols = np.concatenate([s[0] for s in shards])
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), size)
-    block = np.zeros(len(symbols), np.int32)
-    entry = np.arange(len(symbols))
-    for _ in range(depth):
+    pairs = np.unique(np.concatenate([s[0] for s in shards]), return_inverse=True)[1]
+    symbols = pairs.astype(np.uint16) if pairs.max() < 65536 else pairs.astype(np.uint32)
+    head = np.concatenate([s[1] for s in shards])
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), size)
+    rounds = max(0, -(-(depth - SEED) // 2))
+    shift = 9 * max(0, SEED - (depth - 2 * rounds))
+    order = np.argsort(head >> shift, kind="stable")
+    shard, head = shard[order], head[order] >> shift
+    block = np.zeros(len(head), np.int32)
+    np.cumsum(head[1:] != head[:-1], out=block[1:])
+    entry = np.empty(len(order), np.int64)
+    entry[np.argsort(shard, kind="stable")] = np.arange(len(order))
+    for _ in range(rounds):
         symbol = symbols[entry]
         order = np.argsort(symbol, kind="stable")
         shard, block, symbol = shard[order], block[order], symbol[order]
@@ -238,19 +263,18 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -
         block = np.zeros(len(block), np.int32)
         np.cumsum(fresh, out=block[1:])
         # the k-th entry of a shard is its k-th suffix: transforms keep their own order
-        own = np.argsort(shard, kind="stable")
-        entry = np.empty(len(own), np.int64)
-        entry[own] = np.arange(len(own))
+        entry[np.argsort(shard, kind="stable")] = np.arange(len(shard))
     return shard, entry - begin[shard], block
 
 
 def repeated(strings: list[bytes], owners: np.ndarray, length: int) -> list[tuple[int, int]]:
     """(string, start) of every ``length``-byte substring that a string of smaller owner also has."""
     shards, of, held, size = [], [], [], 0
+    limit = max(SHARD, sum(map(len, strings)) // 200)
     for i, s in enumerate(strings):
         held.append(i)
         size += len(s) + 1
-        if size >= SHARD or i == len(strings) - 1:
+        if size >= limit or i == len(strings) - 1:
             shards.append(transform([strings[k] for k in held]))
             of.append(np.array(held))
             held, size = [], 0
@@ -259,8 +283,8 @@ def repeated(strings: list[bytes], owners: np.ndarray, length: int) -> list[tupl
     shard, entry, block = merge(shards, length)
     begin = np.cumsum([0, *(len(s[0]) for s in shards)])
     at = begin[shard] + entry
-    which = np.concatenate([o[s[1]] for o, s in zip(of, shards, strict=True)])[at]
-    place = np.concatenate([s[2] for s in shards])[at]
+    which = np.concatenate([o[s[2]] for o, s in zip(of, shards, strict=True)])[at]
+    place = np.concatenate([s[3] for s in shards])[at]
     sizes = np.array([len(s) for s in strings])
     whole = place + length <= sizes[which]
     which, place, block = which[whole], place[whole], block[whole]
@@ -273,16 +297,33 @@ def repeated(strings: list[bytes], owners: np.ndarray, length: int) -> list[tupl
     return list(zip(which[hit].tolist(), place[hit].tolist(), strict=True))
 
 
+def promising(rows: list[tuple], length: int) -> list[tuple]:
+    """Rows (anchor hash, context, ..., place of the anchor) that may share a string with another.
+
+    A shared string holds the anchor and ``length`` - ANCHOR bytes around it, so half of those lie
+    on one side; contexts that no other one equals there, on either side, share nothing."""
+    half = (length - ANCHOR + 1) // 2
+    sides = []
+    for h, text, *_, p in rows:
+        left = (h, text[p - half : p + ANCHOR]) if p >= half else None
+        right = (h, text[p : p + ANCHOR + half], 1) if len(text) - p >= ANCHOR + half else None
+        sides.append((left, right))
+    seen = Counter(s for both in sides for s in both if s)
+    return [r for r, both in zip(rows, sides, strict=True) if any(s and seen[s] > 1 for s in both)]
+
+
 def _merge_bucket(length: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["anchor"].to_pylist(), table["context"].to_pylist(), table["doc_id"].to_pylist(), table["row_key"].to_pylist(), table["start"].to_pylist(), strict=True))
+        names = ("anchor", "context", "doc_id", "row_key", "start", "place")
+        rows = promising(list(zip(*(table[c].to_pylist() for c in names), strict=True)), length)
+        rows.sort()
         found = repeated([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length)
         per: dict[int, list[int]] = {}
         for i, p in found:
             per.setdefault(i, []).append(p)
         doc, key, covers = [], [], []
         for i, places in per.items():
-            _, _, d, k, s = rows[i]
+            _, _, d, k, s, _ = rows[i]
             doc.append(d)
             key.append(k)
             covers.append(np.array([(s + p, length) for p in places], "<u4").tobytes())
@@ -300,10 +341,10 @@ def _cut_contexts(buckets: int):  # noqa: ANN202
             for d, k, text, opens in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist(), strict=True):
                 raw = text.encode()
                 for part in opens:
-                    out += [(int(h) % buckets, int(h), raw[s : s + n], d, k, int(s)) for h, s, n in np.frombuffer(part, "<u4").reshape(-1, 3)]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "anchor", "context", "doc_id", "row_key", "start"])
+                    out += [(h % buckets, h, raw[s : s + n], p, d, k, s) for h, s, n, p in np.frombuffer(part, "<u4").reshape(-1, 4).tolist()]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "anchor", "context", "place", "doc_id", "row_key", "start"])
 
     return run
 
@@ -330,6 +371,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
 
+def _by_document(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """doc_id, row_key, covers and open (arrays) of the documents that share anything."""
+    emitted = docs.mapInArrow(_emit(length, buckets), "bucket int, covers boolean, docs binary, entries binary")
+    by_bucket = emitted.groupBy("bucket").applyInArrow(_settle_bucket, "doc_id long, row_key long, covers binary, open binary")
+    known = lambda c: F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c)
+    return by_bucket.groupBy("doc_id", "row_key").agg(known("covers"), known("open"))
+
+
 def deduplicate(documents: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) per row."""
     if length < ANCHOR:
@@ -338,12 +387,9 @@ def deduplicate(documents: DataFrame, length: int = 50) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     spark = documents.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    emitted = docs.mapInArrow(_emit(length, buckets), "bucket int, covers boolean, docs binary, entries binary")
-    by_bucket = emitted.groupBy("bucket").applyInArrow(_settle_bucket, "doc_id long, row_key long, covers binary, open binary")
-    known = lambda c: F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c)
-    per = settle(by_bucket.groupBy("doc_id", "row_key").agg(known("covers"), known("open")))
+    per = settle(_by_document(docs, length, buckets), wait=True)
     opened = docs.join(per.where(F.size("open") > 0).select("doc_id", "row_key", "open"), ["doc_id", "row_key"])
-    cut = opened.select("doc_id", "row_key", "text", "open").mapInArrow(_cut_contexts(buckets), "bucket int, anchor long, context binary, doc_id long, row_key long, start long")
+    cut = opened.select("doc_id", "row_key", "text", "open").mapInArrow(_cut_contexts(buckets), "bucket int, anchor long, context binary, place int, doc_id long, row_key long, start long")
     # the same rows may stand twice; their contexts are one
     merged = cut.distinct().groupBy("bucket").applyInArrow(_merge_bucket(length), "doc_id long, row_key long, covers binary")
     late = merged.groupBy("doc_id", "row_key").agg(F.collect_list("covers").alias("late"))

@@ -30,6 +30,8 @@ from .textops import U64, chunks, flat, lower_ascii, mix, prefix_hash, span_hash
 STEMS = (4, 5, 6)
 #: Feature hashes keep 40 bits.
 SHIFT = U64(24)
+#: Slots of the first count of features, as a power of two.
+SLOT_BITS = 22
 
 
 @dataclass
@@ -82,10 +84,10 @@ def fit(
     documents: DataFrame,
     labels: DataFrame,
     keep: Column | None = None,
-    max_positive: int = 3000,
-    max_unlabelled: int = 6000,
+    max_positive: int = 1500,
+    max_unlabelled: int = 3500,
     n_features: int = 512,
-    min_gap: float = 3.0,
+    min_gap: float = 2.0,
     steps: int = 300,
 ) -> Scorer:
     """Fit on at most ``max_positive`` toxic and ``max_unlabelled`` other training rows.
@@ -100,7 +102,7 @@ def fit(
     known = labels.where(keep & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n, n_toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n_toxic or n_toxic == n:
-        p = (n_toxic or 0.5) / (n or 1)
+        p = (n_toxic or 0.5) / (n + 2)  # below one half where nothing is known
         return Scorer(bias=float(np.log(p / max(1 - p, 1e-6))))
     prior = n_toxic / n
     ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
@@ -109,26 +111,47 @@ def fit(
     sample = documents.select("doc_id", "text").join(picked, "doc_id").select("positive", "text")
     got = sample.mapInArrow(_featurize, "positive boolean, keys binary").toArrow()
     flag = np.array(got["positive"].to_pylist(), bool)
-    rows = [np.frombuffer(x, U64) for x in got["keys"].to_pylist()]
-    order_ = sorted(range(len(rows)), key=lambda i: (bool(flag[i]), rows[i].tobytes()))
-    flag, rows = flag[order_], [rows[i] for i in order_]
+    rows = [np.frombuffer(x.as_buffer(), U64) for x in got["keys"]]
     if not flag.any() or flag.all():
         return Scorer(bias=float(np.log(prior / (1 - prior))))
-    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    kept, x = _select(rows, flag, n_features, min_gap)
+    del rows, got
+    order_ = sorted(range(len(flag)), key=lambda i: (bool(flag[i]), x[i].tobytes()))
+    flag, x = flag[order_], x[order_]
+    weights, bias = _descend(x[flag], x[~flag], prior, steps)
+    return Scorer(kept, weights, bias)
+
+
+def _gap(pos: np.ndarray, unl: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Difference of shares in standard errors."""
+    p, u = pos / n_p, unl / n_u
+    return np.abs(p - u) / np.sqrt((p + u + 2 / (n_p + n_u)) * (1 / n_p + 1 / n_u))
+
+
+def _select(rows: list[np.ndarray], flag: np.ndarray, n_features: int, min_gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell most, sorted, and the 0/1 matrix of rows and features.
+
+    Features are counted in a table of fixed size first; only those in its outstanding slots are
+    then counted one by one, so memory does not grow with the vocabulary."""
     n_p, n_u = int(flag.sum()), int((~flag).sum())
-    pos = np.bincount(at[flag[row]], minlength=len(keys)) / n_p
-    unl = np.bincount(at[~flag[row]], minlength=len(keys)) / n_u
-    gap = (pos - unl) / np.sqrt((pos + unl + 2 / (n_p + n_u)) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-np.abs(gap), kind="stable")[:n_features]
-    best = np.sort(best[np.abs(gap[best]) >= min_gap])
+    mask = U64((1 << SLOT_BITS) - 1)
+    slots = np.zeros((2, 1 << SLOT_BITS), np.uint32)
+    for k, f in zip(rows, flag, strict=True):
+        slots[int(f)][k & mask] += 1
+    good = _gap(slots[1].astype(np.float32), slots[0].astype(np.float32), n_p, n_u) >= 0.7 * min_gap
+    del slots
+    few = [k[good[k & mask]] for k in rows]
+    keys, at = np.unique(np.concatenate(few), return_inverse=True)
+    row = np.repeat(np.arange(len(few)), [len(k) for k in few])
+    gap = _gap(np.bincount(at[flag[row]], minlength=len(keys)), np.bincount(at[~flag[row]], minlength=len(keys)), n_p, n_u)
+    best = np.argsort(-gap, kind="stable")[:n_features]
+    best = np.sort(best[gap[best] >= min_gap])
     place = np.full(len(keys), -1)
     place[best] = np.arange(len(best))
-    x = np.zeros((len(rows), len(best)), np.float32)
+    x = np.zeros((len(flag), len(best)), np.float32)
     used = place[at] >= 0
     x[row[used], place[at[used]]] = 1
-    weights, bias = _descend(x[flag], x[~flag], prior, steps)
-    return Scorer(keys[best], weights, bias)
+    return keys[best], x
 
 
 def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, float]:

@@ -9,8 +9,8 @@ and two documents agree in a slot with probability equal to their weighted Jacca
 process stops when it has passed the latest slot of its document, so cost hardly exceeds one
 point per shingle.
 
-Signatures are cut into bands. In each band bucket, documents are linked to one hub, never to
-each other, so a bucket of any size costs one candidate a member. Candidates whose signatures
+Signatures are cut into bands. In each band bucket, documents are paired with a few hubs, never with
+each other, so a bucket of any size costs a few candidates a member. Candidates whose signatures
 agree in too few slots for the threshold are dropped, the others are verified on the exact
 multisets. Components of the verified links are found, and buckets that still hold several
 components are tried again, with other hubs, until a round brings no link. Equal texts are
@@ -38,8 +38,15 @@ from .textops import U64, chunks, flat, mix, prefix_hash, span_hash, word_spans
 SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
 #: A pair must agree in this share of slots to be verified; one of similarity 0.8 agrees in fewer
-#: with probability below 1e-9.
-PRESUMED = 0.5
+#: with probability below 1e-5.
+PRESUMED = 0.6
+#: Hubs of a bucket in one round: of the first round the least id and other members, of later ones
+#: members of as many components.
+HUBS = 4
+#: Rows in a batch while multisets travel.
+PAIRS = 400
+#: So many ids at most are broadcast.
+FEW_IDS = 50_000
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -186,43 +193,42 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _links(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified links (a, b) between the ids of texts that stand for themselves."""
-    spark = signed.sparkSession
+    """Components (id, component) of the verified links between texts that stand for themselves."""
     exploded = signed.where("has_words").select("id", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = settle(exploded.join(shared, "band"))
-    sigs = signed.select("id", "signature")
+    first = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    second = signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     tried = links = labels = None
     turn = 0
     while True:
-        turn += 1
         here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-        order = F.struct(F.xxhash64("label", F.lit(turn)) if turn > 1 else F.col("label"), F.col("id"))
-        hubs = here.groupBy("band").agg(F.min_by(F.struct("id", "label"), order).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        hubs = hubs.where("lo < hi").select(F.col("band").alias("_band"), F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
-        pairs = here.join(hubs, F.col("band") == F.col("_band")).where("label <> hub_label")
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        seeds = [F.xxhash64("label", F.lit(turn * HUBS + i)) for i in range(HUBS)]
+        if labels is None:
+            seeds[0] = F.col("id")
+        hubs = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*(F.min_by(F.struct("id", "label"), F.struct(s, "id")) for s in seeds))).alias("hubs"))
+        hubs = hubs.where("lo < hi").select(F.col("band").alias("_band"), "hubs")
+        pairs = here.join(hubs, F.col("band") == F.col("_band")).select("id", "label", F.explode("hubs").alias("hub")).where("label <> hub.label")
+        pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        first = sigs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-        second = sigs.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
         likely = settle(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"))
-        if likely.limit(1).count() == 0:
-            break
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        items = settle(texts.join(ids, "id", "left_semi").mapInArrow(_multisets, "id long, items binary"))
+        ids = settle(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        n = ids.count()
+        if not n:
+            return labels
+        # few ids (eight bytes each) go to the texts; many texts go to their ids
+        wanted = texts.join(F.broadcast(ids) if n <= FEW_IDS else ids, "id", "left_semi")
+        items = settle(wanted.mapInArrow(_multisets, "id long, items binary"))
         ia = items.select(F.col("id").alias("a"), F.col("items").alias("ia"))
         ib = items.select(F.col("id").alias("b"), F.col("items").alias("ib"))
         found = settle(likely.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(threshold), "a long, b long"))
+        if not found.limit(1).count():
+            return labels
         tried = likely if tried is None else tried.union(likely)
-        if found.limit(1).count() == 0:
-            if turn > 1:
-                break
-            continue
         links = found if links is None else links.union(found)
         labels = components(links)
-    del spark
-    return labels
+        turn += 1
 
 
 def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -236,7 +242,18 @@ def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     alone = alone.withColumn("doc", F.col("id")).withColumn("id", F.col("same.x1"))
     texts = keyed.select(F.col("same.x1").alias("id"), "text", "doc_id")
     texts = texts.join(alone.select("id", F.col("doc").alias("doc_id")), ["id", "doc_id"], "left_semi").select("id", "text")
-    labels = _links(alone.select("id", "bands", "signature", "has_words"), texts, threshold)
+    # a batch of pairs holds two multisets a row, which may be those of very long texts
+    # and constraints inferred from joins would pile up in the driver from round to round
+    size, infer = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.constraintPropagation.enabled"
+    spark = documents.sparkSession
+    before = spark.conf.get(size), spark.conf.get(infer)
+    spark.conf.set(size, str(min(int(before[0]), PAIRS)))
+    spark.conf.set(infer, "false")
+    try:
+        labels = _links(alone.select("id", "bands", "signature", "has_words"), texts, threshold)
+    finally:
+        spark.conf.set(size, before[0])
+        spark.conf.set(infer, before[1])
     stands = alone.select("same", "doc", "id")
     if labels is None:
         named = stands.select("same", F.col("doc").alias("class_id"))

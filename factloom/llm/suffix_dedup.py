@@ -43,10 +43,17 @@ ANCHOR = 20
 SHARD = 1 << 15
 #: Symbols of a suffix that its entry carries, from which the first interleave is made.
 SEED = 6
-_ENTRY = np.dtype([("h", "<u4"), ("c", "<u8"), ("s", "<u4"), ("n", "<u2"), ("p", "<u2"), ("d", "<u4")])
+#: Buckets at least: documents then meet in as many rows each, whatever the size of the input.
+BUCKETS = 64
 TOP = (1 << 63) - 1
 
 
+def _entry(length: int) -> np.dtype:
+    """Anchor, context hash, start, size, place of the anchor, document of a context."""
+    small = "u1" if 2 * length < 256 else "<u4"
+    return np.dtype([("h", "<u4"), ("c", "<u8"), ("s", "<u4"), ("n", small), ("p", small), ("d", "<u4")])
+
+
 # ---- contexts -----------------------------------------------------------------------------
 
 
@@ -135,7 +142,7 @@ def _emit(length: int, buckets: int):  # noqa: ANN202
             ids = np.stack([batch["doc_id"].to_numpy(zero_copy_only=False), batch["row_key"].to_numpy(zero_copy_only=False)], 1).astype(np.int64)
             for a, b in chunks(offsets):
                 doc, start, n, p, h, c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                e = np.zeros(len(doc), _ENTRY)
+                e = np.zeros(len(doc), _entry(length))
                 e["h"], e["c"], e["s"], e["n"], e["p"], e["d"] = h >> U64(32), c, start, n, p, doc
                 held.append((ids[a:b], e))
                 size += len(e)
@@ -148,13 +155,17 @@ def _emit(length: int, buckets: int):  # noqa: ANN202
     return run
 
 
-def _settle_bucket(table: pa.Table) -> pa.Table:
+def _settle_bucket(length: int):  # noqa: ANN202
+    return lambda table: _settled(table, _entry(length))
+
+
+def _settled(table: pa.Table, kind: np.dtype) -> pa.Table:
     """All contexts of a bucket: (doc_id, row_key, covers, open) per document. Covered contexts are
     (start, size); open ones, whose anchor has other contexts elsewhere, (anchor, start, size, place of the anchor)."""
     ids, parts, flags, base = [], [], [], 0
     for covers, docs, entries in zip(table["covers"].to_pylist(), table["docs"].to_pylist(), table["entries"].to_pylist(), strict=True):
         d = np.frombuffer(docs, "<i8").reshape(-1, 2)
-        e = np.frombuffer(entries, _ENTRY).copy()
+        e = np.frombuffer(entries, kind).copy()
         e["d"] += np.uint32(base)
         base += len(d)
         ids.append(d)
@@ -374,7 +385,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_document(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """doc_id, row_key, covers and open (arrays) of the documents that share anything."""
     emitted = docs.mapInArrow(_emit(length, buckets), "bucket int, covers boolean, docs binary, entries binary")
-    by_bucket = emitted.groupBy("bucket").applyInArrow(_settle_bucket, "doc_id long, row_key long, covers binary, open binary")
+    by_bucket = emitted.groupBy("bucket").applyInArrow(_settle_bucket(length), "doc_id long, row_key long, covers binary, open binary")
     known = lambda c: F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c)
     return by_bucket.groupBy("doc_id", "row_key").agg(known("covers"), known("open"))
 
@@ -386,7 +397,7 @@ def deduplicate(documents: DataFrame, length: int = 50) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     spark = documents.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     per = settle(_by_document(docs, length, buckets), wait=True)
     opened = docs.join(per.where(F.size("open") > 0).select("doc_id", "row_key", "open"), ["doc_id", "row_key"])
     cut = opened.select("doc_id", "row_key", "text", "open").mapInArrow(_cut_contexts(buckets), "bucket int, anchor long, context binary, place int, doc_id long, row_key long, start long")

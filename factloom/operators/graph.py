@@ -55,9 +55,10 @@ def upgrade_trust(nodes: DataFrame, loads: DataFrame) -> DataFrame:
     """Raise package nodes by what loading showed. ``loads``: package, errors, imports (arrays).
 
     A package without errors is type-resolved and loses its reason; a package that a loaded one
-    imports is package-loaded at least."""
+    imports is package-loaded at least, unless it is known to have errors."""
     clean = loads.where(F.size("errors") == 0).select(M.package_id("package").alias("clean")).distinct()
-    used = loads.select(F.explode("imports").alias("p")).select(M.package_id("p").alias("used")).distinct()
+    broken = loads.where(F.size("errors") > 0).select(F.col("package").alias("p"))
+    used = loads.select(F.explode("imports").alias("p")).join(broken, "p", "left_anti").select(M.package_id("p").alias("used")).distinct()
     out = nodes.join(clean, nodes["id"] == F.col("clean"), "left").join(used, nodes["id"] == F.col("used"), "left")
     mine = F.col("clean").isNotNull() & ~M.is_placeholder_node()
     rank = F.when(mine, 3).when(F.col("used").isNotNull() & ~M.is_placeholder_node(), F.greatest(M.trust_rank("trustLevel"), F.lit(2))).otherwise(M.trust_rank("trustLevel"))
@@ -75,22 +76,28 @@ def known_ids(facts: dict[str, DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def dangling(facts: dict[str, DataFrame]) -> DataFrame:
-    """(section, id, role, ref): references to facts that do not exist, one anti join for all."""
-    refs = []
+def references(facts: dict[str, DataFrame]) -> DataFrame:
+    """(section, id, role, ref): every reference from a fact to a fact, one pass per section."""
+    parts = []
     for section, df in facts.items():
         if "id" not in df.columns:
             continue
-        if "evidence" in df.columns:
-            e = df.select(F.lit(section).alias("section"), "id", F.lit("evidence").alias("role"), F.explode("evidence").alias("ref"))
-            refs.append(e.where(M.looks_like_fact(F.col("ref"))))
-        for column, role in (("targetId", "target"), ("from", "from"), ("to", "to"), ("affectedNodeId", "affected_node"), ("affectedEdgeId", "affected_edge")):
-            if column in df.columns:
-                refs.append(df.select(F.lit(section).alias("section"), "id", F.lit(role).alias("role"), F.col(f"`{column}`").alias("ref")).where("ref <> ''"))
+        one = lambda role, ref: F.struct(F.lit(role).alias("role"), ref.alias("ref"))
+        refs = [F.when(F.col(f"`{c}`") != "", one(role, F.col(f"`{c}`"))) for c, role in (("targetId", "target"), ("from", "from"), ("to", "to"), ("affectedNodeId", "affected_node"), ("affectedEdgeId", "affected_edge")) if c in df.columns]
         if section == "metrics":
-            m = df.select(F.lit(section).alias("section"), "id", F.lit("subject").alias("role"), F.col("subject").alias("ref"))
-            refs.append(m.where(M.looks_like_fact(F.col("ref"))))
-    out = refs[0]
-    for r in refs[1:]:
-        out = out.unionByName(r)
-    return out.join(known_ids(facts).withColumnRenamed("id", "ref"), "ref", "left_anti").select("section", "id", "role", "ref")
+            refs.append(F.when(M.looks_like_fact(F.col("subject")), one("subject", F.col("subject"))))
+        every = F.array(*refs) if refs else F.array().cast("array<struct<role:string,ref:string>>")
+        if "evidence" in df.columns:
+            every = F.concat(every, F.transform("evidence", lambda e: F.when(M.looks_like_fact(e), F.struct(F.lit("evidence").alias("role"), e.alias("ref")))))
+        found = df.select(F.lit(section).alias("section"), "id", F.explode(F.filter(every, lambda r: r.isNotNull())).alias("r"))
+        parts.append(found.select("section", "id", "r.role", "r.ref"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def dangling(facts: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """References to facts that do not exist, neither among ``facts`` nor ``known`` (id)."""
+    ids = known_ids(facts) if known is None else known.union(known_ids(facts))
+    return references(facts).join(ids.withColumnRenamed("id", "ref"), "ref", "left_anti").select("section", "id", "role", "ref")

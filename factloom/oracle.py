@@ -245,7 +245,7 @@ SQL: dict[str, str] = {
     "upsert_nodes": f"SELECT 'type:' || p_name AS id, arg_min(p_brand, p_partkey) AS name, {TRUST('max(p_size % 3 + 1)')} AS trustLevel, coalesce(arg_min('r' || p_size, p_partkey) FILTER (p_size % 4 = 0), '') AS reason FROM part GROUP BY p_name",
     "upsert_edges": "SELECT 'edge:calls:' || o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS reason, arg_max(o_orderstatus, o_orderkey) = 'F' AS complete FROM orders GROUP BY o_custkey",
     "trust_upgrade": """SELECT id, CASE WHEN kind = 'package' AND clean THEN 'type_resolved' WHEN kind = 'package' AND used AND trustLevel = 'syntax_observed' THEN 'package_loaded' ELSE trustLevel END AS trustLevel, CASE WHEN kind = 'package' AND clean THEN '' ELSE reason END AS reason
-      FROM (SELECT *, id IN (SELECT "from" FROM imp WHERE contains(fp, 'NATION_1') GROUP BY 1 HAVING NOT bool_or(NOT starts_with("to", 'package:'))) AS clean, id IN (SELECT "to" FROM imp WHERE contains(fp, 'NATION_1') AND complete AND contains(tp, 'NATION_2')) AS used FROM nodes WHERE kind IN ('package', 'placeholder'))""",
+      FROM (SELECT *, id IN (SELECT "from" FROM imp WHERE contains(fp, 'NATION_1') GROUP BY 1 HAVING NOT bool_or(NOT starts_with("to", 'package:'))) AS clean, id IN (SELECT "to" FROM imp WHERE contains(fp, 'NATION_1') AND complete AND contains(tp, 'NATION_2')) AND id NOT IN (SELECT "from" FROM imp WHERE contains(fp, 'NATION_1') AND NOT starts_with("to", 'package:')) AS used FROM nodes WHERE kind IN ('package', 'placeholder'))""",
     "validate_dangling_refs": """SELECT 'edges' AS section, id, 'from' AS role, "from" AS ref FROM edges WHERE kind <> 'declares' AND "from" NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'edges', id, 'to', "to" FROM edges WHERE kind <> 'declares' AND "to" NOT IN (SELECT id FROM nodes)""",
     "classify_diagnostics": "SELECT source, reason, status, level FROM diagnostics",
     "source_hashes": "SELECT doc_id, sha256(coalesce(text, '')) AS \"full\", substr(sha256(coalesce(text, '')), 1, 16) AS short FROM documents",

@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
     are combined before the shuffle, so a star does not gather in one task.
     """
     both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
     while True:
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(around, labels["id"] == around["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))

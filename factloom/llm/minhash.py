@@ -24,10 +24,11 @@ repeated rows each get a row; extra columns are ignored by ``classes`` and kept
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, settle
@@ -94,16 +95,16 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, slo
     level = 1
     while (more := weight > level).any():
         ds.append(doc[more])
-        ks.append(mix(key[more] + GOLDEN * U64(level + 1)))
+        ks.append(mix(key[more] + np.array([level + 1], U64) * GOLDEN))
         ws.append(weight[more])
         low.append(np.full(int(more.sum()), level))
         level *= 2
     d, k, w, base = map(np.concatenate, (ds, ks, ws, low))
     rate = np.maximum(base, 1).astype(np.float64)
-    time, step = np.zeros(len(d)), U64(0)
+    time, step = np.zeros(len(d)), np.zeros(1, U64)
     latest = np.full(n, np.inf)
     while len(d):
-        step += U64(1)
+        step = step + U64(1)
         x = mix(k + step * GOLDEN)
         y = mix(x ^ GOLDEN)
         time = time - np.log(_uniform(x)) / rate
@@ -231,6 +232,21 @@ def _links(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame |
         turn += 1
 
 
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """While the rounds run: small batches, as a row of a pair holds two multisets, which may be
+    those of very long texts; and little about each of many plans kept in the driver."""
+    given = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PAIRS), "spark.sql.constraintPropagation.enabled": "false", "spark.sql.maxPlanStringLength": "2000"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) per row: class_id is the least doc_id of the class."""
     keyed = _keyed(documents)
@@ -242,18 +258,8 @@ def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     alone = alone.withColumn("doc", F.col("id")).withColumn("id", F.col("same.x1"))
     texts = keyed.select(F.col("same.x1").alias("id"), "text", "doc_id")
     texts = texts.join(alone.select("id", F.col("doc").alias("doc_id")), ["id", "doc_id"], "left_semi").select("id", "text")
-    # a batch of pairs holds two multisets a row, which may be those of very long texts
-    # and constraints inferred from joins would pile up in the driver from round to round
-    size, infer = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.constraintPropagation.enabled"
-    spark = documents.sparkSession
-    before = spark.conf.get(size), spark.conf.get(infer)
-    spark.conf.set(size, str(min(int(before[0]), PAIRS)))
-    spark.conf.set(infer, "false")
-    try:
+    with _settings(documents.sparkSession):
         labels = _links(alone.select("id", "bands", "signature", "has_words"), texts, threshold)
-    finally:
-        spark.conf.set(size, before[0])
-        spark.conf.set(infer, before[1])
     stands = alone.select("same", "doc", "id")
     if labels is None:
         named = stands.select("same", F.col("doc").alias("class_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,33 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame, wait: bool = False) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, its lineage cut.
+    """``df`` written as a table to the shared folder and read from there, its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local run)
-    a temporary folder is made for it. ``wait`` for large shuffles, whose files should be gone
-    before the next ones are written.
+    a temporary folder is made for it. A written table, unlike a checkpoint, does not inherit the
+    size that was estimated for the plan behind it: in rounds of joins that number gains digits
+    until the driver's memory is full of them. ``wait`` for large shuffles, whose files should be
+    gone before the next ones are written.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_folder(df.sparkSession))
-    out = df.checkpoint()
+    spark, kind = df.sparkSession, df.schema
+    path = f"{_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # what led to the table is not needed again: let Spark's cleaner drop its shuffle files now
     del df
-    release(context, wait)
+    release(spark.sparkContext, wait)
+    out = spark.read.schema(kind).parquet(path)
+    out.settled_at = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read again."""
+    jvm, path = df.sparkSession.sparkContext._jvm, getattr(df, "settled_at", None)
+    if path:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(context: SparkContext, wait: bool = False) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
 
@@ -39,13 +52,18 @@ def release(context: SparkContext, wait: bool = False) -> None:
         context._jvm.System.gc()
 
 
+_local: list[str] = []
+
+
 def _folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", "")
     if given:
         return given
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="checkpoint-")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="settled-"))
+    return _local[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -57,12 +75,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+    before = None
     while True:
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(around, labels["id"] == around["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("id").alias("k"), F.col("label").alias("higher"))
         jumped = new.join(up, new["label"] == up["k"], "left").select("id", F.least("label", F.coalesce("higher", "label")).alias("label"), "old")
-        labels = settle(jumped)
-        if not labels.where("label <> old").limit(1).count():
-            return labels.select("id", F.col("label").alias("component"))
-        labels = labels.select("id", "label")
+        settled = settle(jumped)
+        if before is not None:
+            discard(before)
+        if not settled.where("label <> old").limit(1).count():
+            discard(both)
+            return settled.select("id", F.col("label").alias("component"))
+        before, labels = settled, settled.select("id", "label")

@@ -23,7 +23,7 @@ repeated rows each get a row; extra columns are ignored by ``classes`` and kept
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components, settle
+from .components import components, discard, settle
 from .textops import U64, chunks, flat, mix, prefix_hash, span_hash, word_spans
 
 #: Slots of a signature, in bands of ROWS. A pair of similarity 0.8 shares no band with
@@ -41,9 +41,9 @@ BANDS = SLOTS // ROWS
 #: A pair must agree in this share of slots to be verified; one of similarity 0.8 agrees in fewer
 #: with probability below 1e-5.
 PRESUMED = 0.6
-#: Hubs of a bucket in one round: of the first round the least id and other members, of later ones
-#: members of as many components.
-HUBS = 4
+#: Hubs of a bucket in the first round (the least id and other members), and in later ones, for the
+#: few buckets that still hold several components.
+HUBS, LATER_HUBS = 4, 16
 #: Rows in a batch while multisets travel.
 PAIRS = 400
 #: So many ids at most are broadcast.
@@ -193,8 +193,9 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("doc_id"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("x1"), F.xxhash64(F.lit(2), text).alias("x2")).withColumn("same", F.struct("x1", "x2")).drop("x1", "x2")
 
 
-def _links(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Components (id, component) of the verified links between texts that stand for themselves."""
+def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
+    """Components (id, component) of the verified links between texts that stand for themselves;
+    ``texts`` gives (id, text) for a table of ids."""
     exploded = signed.where("has_words").select("id", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = settle(exploded.join(shared, "band"))
@@ -204,7 +205,7 @@ def _links(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame |
     turn = 0
     while True:
         here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-        seeds = [F.xxhash64("label", F.lit(turn * HUBS + i)) for i in range(HUBS)]
+        seeds = [F.xxhash64("label", F.lit(turn * LATER_HUBS + i)) for i in range(LATER_HUBS if turn else HUBS)]
         if labels is None:
             seeds[0] = F.col("id")
         hubs = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*(F.min_by(F.struct("id", "label"), F.struct(s, "id")) for s in seeds))).alias("hubs"))
@@ -219,11 +220,13 @@ def _links(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame |
         if not n:
             return labels
         # few ids (eight bytes each) go to the texts; many texts go to their ids
-        wanted = texts.join(F.broadcast(ids) if n <= FEW_IDS else ids, "id", "left_semi")
+        wanted = texts(F.broadcast(ids) if n <= FEW_IDS else ids)
         items = settle(wanted.mapInArrow(_multisets, "id long, items binary"))
         ia = items.select(F.col("id").alias("a"), F.col("items").alias("ia"))
         ib = items.select(F.col("id").alias("b"), F.col("items").alias("ib"))
         found = settle(likely.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(threshold), "a long, b long"))
+        discard(items)
+        discard(ids)
         if not found.limit(1).count():
             return labels
         tried = likely if tried is None else tried.union(likely)
@@ -256,8 +259,12 @@ def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     # ids may repeat under different texts; a text's own number then stands for it
     alone = alone.withColumn("doc", F.col("id")).withColumn("id", F.col("same.x1"))
-    texts = keyed.select(F.col("same.x1").alias("id"), "text", "doc_id")
-    texts = texts.join(alone.select("id", F.col("doc").alias("doc_id")), ["id", "doc_id"], "left_semi").select("id", "text")
+    owners = alone.select("id", F.col("doc").alias("doc_id"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        every = keyed.select(F.col("same.x1").alias("id"), "text", "doc_id").join(ids, "id", "left_semi")
+        return every.join(owners, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+
     with _settings(documents.sparkSession):
         labels = _links(alone.select("id", "bands", "signature", "has_words"), texts, threshold)
     stands = alone.select("same", "doc", "id")

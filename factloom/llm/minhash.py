@@ -9,12 +9,14 @@ and two documents agree in a slot with probability equal to their weighted Jacca
 process stops when it has passed the latest slot of its document, so cost hardly exceeds one
 point per shingle.
 
-Signatures are cut into bands. In each band bucket, documents are paired with a few hubs, never with
-each other, so a bucket of any size costs a few candidates a member. Candidates whose signatures
-agree in too few slots for the threshold are dropped, the others are verified on the exact
-multisets. Components of the verified links are found, and buckets that still hold several
-components are tried again, with other hubs, until a round brings no link. Equal texts are
-collapsed before all this and take their class from the one that stands for them.
+Signatures are cut into bands. In each band bucket, documents are first paired with a few hubs,
+which joins most of a large group at a few candidates a member. Candidates whose signatures agree in
+too few slots for the threshold are dropped, the others are verified on the exact multisets, and
+components of the verified links are found. In buckets that still hold several components, every
+two members of different ones are then compared: in blocks, by their slots, and where enough agree
+by the shared elements of all exact multisets of the block at once. No pair of a bucket is left
+out; the cost grows with the members outside the bucket's largest component times all its members.
+Equal texts are collapsed before all this and take their class from the one that stands for them.
 
 Defined cases: null text counts as empty; texts without words form a class only with equal texts;
 a text of fewer than five words has one shingle, all its words; null ids order after all others;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,10 @@ BANDS = SLOTS // ROWS
 #: A pair must agree in this share of slots to be verified; one of similarity 0.8 agrees in fewer
 #: with probability below 1e-5.
 PRESUMED = 0.6
-#: Hubs of a bucket in the first round (the least id and other members), and in later ones, for the
-#: few buckets that still hold several components.
-HUBS, LATER_HUBS = 4, 16
+#: Hubs of a bucket in the first round: the least id and other members.
+HUBS = 4
+#: Members, and elements of their multisets, in a block of a bucket, about.
+BLOCK, BLOCK_ITEMS = 256, 2_000_000
 #: Rows in a batch while multisets travel.
 PAIRS = 400
 #: So many ids at most are broadcast.
@@ -130,16 +134,17 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch["text"])
-        keys, short, has = [], [], []
+        keys, short, sizes = [], [], []
         for a, b in chunks(offsets):
             doc, key, weight = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             s = signatures(doc, key, weight, b - a)
             keys.append(bands(s))
             short += [r.tobytes() for r in (mix(np.ascontiguousarray(s).view(U64)) >> U64(48)).astype(np.uint16)]
-            has.append(np.bincount(doc, minlength=b - a) > 0)
+            sizes.append(np.bincount(doc, weight, b - a).astype(np.int64))
         k = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1) * BANDS, pa.int32()), pa.array(k.ravel()))
-        yield pa.record_batch([batch["doc_id"], batch["same"], lists, pa.array(short, pa.binary()), pa.array(np.concatenate(has) if has else [], pa.bool_())], ["doc_id", "same", "bands", "signature", "has_words"])
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        yield pa.record_batch([batch["doc_id"], batch["same"], lists, pa.array(short, pa.binary()), pa.array(size > 0), pa.array(size)], ["doc_id", "same", "bands", "signature", "has_words", "size"])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,46 +198,153 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("doc_id"), text.alias("text"), F.xxhash64(text, F.lit(1)).alias("x1"), F.xxhash64(F.lit(2), text).alias("x2")).withColumn("same", F.struct("x1", "x2")).drop("x1", "x2")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of equal ``at``, which follow one another."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        at = table["at"].to_numpy()
+        cut = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()]
+        for x, y in pairwise(cut):
+            yield table.slice(x, y - x)
+        rest = table.slice(cut[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (at, id) of each group that may have a link there: they agree in enough slots with
+    one of another component, and this is the first bucket that the two share."""
+    least = int(np.ceil(PRESUMED * SLOTS - 1e-9))
+    for group in _groups(batches):
+        band, label, ids = (group[c].to_numpy() for c in ("band", "label", "id"))
+        slots = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        agree = np.zeros((len(ids), len(ids)), np.uint8)
+        for column in slots.T:
+            agree += column[:, None] == column
+        x, y = np.nonzero(np.triu((agree >= least) & (label[:, None] != label) & (band[:, None] == band), 1))
+        if not len(x):
+            continue
+        every = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        here = every[x, (every[x] == every[y]).argmax(1)] == band[x]
+        kept = np.unique(np.concatenate([x[here], y[here]]))
+        yield pa.record_batch([pa.array(group["at"].to_numpy()[kept]), pa.array(ids[kept])], ["at", "id"])
+
+
+def _shared(items: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each two multisets share."""
+    n = len(items)
+    out = np.zeros((n, n))
+    every, of = np.concatenate(items), np.repeat(np.arange(n), [len(i) for i in items])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1
+    of, column = of[common], (np.cumsum(new & common) - 1)[common]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        has = np.zeros((n, min(width, int(column[-1]) + 1 - low)), np.float32)
+        has[of[a:b], column[a:b] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def _linked(threshold: float):  # noqa: ANN202
+    """Links (a, b) that join all of a group that verified pairs of it join, as few as do so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            ids = group["id"].to_numpy()
+            items = [np.frombuffer(i.as_buffer(), U64) for i in group["items"]]
+            size, shared = np.array([len(i) for i in items]), _shared(items)
+            near = shared >= threshold * (size[:, None] + size - shared)
+            left, links = np.ones(len(ids), bool), []
+            while left.any():
+                todo = [int(left.argmax())]
+                left[todo] = False
+                while todo:
+                    x = todo.pop()
+                    more = np.flatnonzero(near[x] & left)
+                    left[more] = False
+                    links += [(x, y) for y in more.tolist()]
+                    todo += more.tolist()
+            if links:
+                both = np.sort(ids[np.array(links)], 1)
+                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _blocks(here: DataFrame) -> DataFrame:
+    """(at, band, id, label) of buckets that hold several components, dealt to groups of bounded size
+    so that every two members of different components meet in one of them. The largest component of
+    a bucket is not dealt against itself. In a bucket of two the first round has tried the pair."""
+    parts = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("labels"))
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
+    parts = parts.where("labels > 1 and n > 2").select(
+        F.col("band").alias("_band"),
+        F.col("top.label").alias("main"),
+        count(F.col("n"), F.col("total")).alias("whole"),
+        count(F.col("top.n"), F.col("top.size")).alias("mains"),
+        count(F.col("n") - F.col("top.n"), F.col("total") - F.col("top.size")).alias("others"),
+    )
+    dealt = here.join(parts, F.col("band") == F.col("_band")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    group = lambda kind, x, y: F.xxhash64("band", F.lit(kind), x, y)
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    meets = F.when(F.col("whole") == 1, F.array(group(0, F.lit(0), F.lit(0))))
+    meets = meets.when(F.col("label") == F.col("main"), upto("others", lambda j: group(1, F.col("own"), j)))
+    meets = meets.otherwise(F.concat(upto("mains", lambda i: group(1, i, F.col("own"))), upto("others", lambda j: group(2, F.least("own", j), F.greatest("own", j)))))
+    return dealt.select("band", "id", "label", F.explode(meets).alias("at"))
+
+
 def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
     """Components (id, component) of the verified links between texts that stand for themselves;
     ``texts`` gives (id, text) for a table of ids."""
-    exploded = signed.where("has_words").select("id", F.explode("bands").alias("band"))
+    exploded = signed.where("has_words").select("id", "size", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = settle(exploded.join(shared, "band"))
-    first = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    second = signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    tried = links = labels = None
-    turn = 0
-    while True:
-        here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-        seeds = [F.xxhash64("label", F.lit(turn * LATER_HUBS + i)) for i in range(LATER_HUBS if turn else HUBS)]
-        if labels is None:
-            seeds[0] = F.col("id")
-        hubs = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*(F.min_by(F.struct("id", "label"), F.struct(s, "id")) for s in seeds))).alias("hubs"))
-        hubs = hubs.where("lo < hi").select(F.col("band").alias("_band"), "hubs")
-        pairs = here.join(hubs, F.col("band") == F.col("_band")).select("id", "label", F.explode("hubs").alias("hub")).where("label <> hub.label")
-        pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        likely = settle(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"))
-        ids = settle(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        n = ids.count()
-        if not n:
-            return labels
+
+    def multisets(rows: DataFrame) -> DataFrame:
+        ids = settle(rows.distinct())
         # few ids (eight bytes each) go to the texts; many texts go to their ids
-        wanted = texts(F.broadcast(ids) if n <= FEW_IDS else ids)
+        wanted = texts(F.broadcast(ids) if ids.count() <= FEW_IDS else ids)
         items = settle(wanted.mapInArrow(_multisets, "id long, items binary"))
-        ia = items.select(F.col("id").alias("a"), F.col("items").alias("ia"))
-        ib = items.select(F.col("id").alias("b"), F.col("items").alias("ib"))
-        found = settle(likely.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(threshold), "a long, b long"))
-        discard(items)
         discard(ids)
-        if not found.limit(1).count():
-            return labels
-        tried = likely if tried is None else tried.union(likely)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        turn += 1
+        return items
+
+    first = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    second = signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+    seeds = [F.col("id"), *(F.xxhash64("id", F.lit(i)) for i in range(1, HUBS))]
+    hubs = members.groupBy("band").agg(F.array_distinct(F.array(*(F.min_by("id", F.struct(s, "id")) for s in seeds))).alias("hubs"))
+    pairs = members.join(hubs, "band").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    likely = settle(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"))
+    items = multisets(likely.select(F.explode(F.array("a", "b")).alias("id")))
+    ia = items.select(F.col("id").alias("a"), F.col("items").alias("ia"))
+    ib = items.select(F.col("id").alias("b"), F.col("items").alias("ib"))
+    found = settle(likely.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(_verified(threshold), "a long, b long"))
+    discard(items)
+    discard(likely)
+    labels = components(found) if found.limit(1).count() else None
+
+    # what the hubs did not join: all other pairs of different components
+    here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("label"))
+    dealt = settle(_blocks(here))
+    discard(members)
+    signs = signed.select("id", "signature", "bands")
+    wide = dealt.join(signs, "id").select("at", "band", "id", "label", "signature", "bands").repartition("at").sortWithinPartitions("at")
+    rest = settle(wide.mapInArrow(_unsettled, "at long, id long"))
+    discard(dealt)
+    items = multisets(rest.select("id"))
+    more = settle(rest.join(items, "id").select("at", "id", "items").repartition("at").sortWithinPartitions("at").mapInArrow(_linked(threshold), "a long, b long"))
+    discard(items)
+    discard(rest)
+    if not more.limit(1).count():
+        return labels
+    return components(found.union(more))
 
 
 @contextmanager
@@ -253,9 +365,9 @@ def _settings(spark: SparkSession) -> Iterator[None]:
 def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) per row: class_id is the least doc_id of the class."""
     keyed = _keyed(documents)
-    rows = keyed.select("doc_id", "same", "text").mapInArrow(_sign, "doc_id long, same struct<x1:long,x2:long>, bands array<long>, signature binary, has_words boolean")
+    rows = keyed.select("doc_id", "same", "text").mapInArrow(_sign, "doc_id long, same struct<x1:long,x2:long>, bands array<long>, signature binary, has_words boolean, size long")
     alone = settle(
-        rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("has_words").alias("has_words"))
+        rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("has_words").alias("has_words"), F.first("size").alias("size"))
     )
     # ids may repeat under different texts; a text's own number then stands for it
     alone = alone.withColumn("doc", F.col("id")).withColumn("id", F.col("same.x1"))
@@ -266,7 +378,7 @@ def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
         return every.join(owners, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
     with _settings(documents.sparkSession):
-        labels = _links(alone.select("id", "bands", "signature", "has_words"), texts, threshold)
+        labels = _links(alone.select("id", "bands", "signature", "has_words", "size"), texts, threshold)
     stands = alone.select("same", "doc", "id")
     if labels is None:
         named = stands.select("same", F.col("doc").alias("class_id"))

@@ -129,6 +129,47 @@ def test_near_classes_equal_brute_force(spark, texts):
     assert {r.doc_id: r.class_id for r in queries.op2_minhash_near_dedup(spark, str(SF)).collect()} == near_classes(texts)
 
 
+def form_texts(family, n):
+    """A form of 400 words and ``n`` texts that fill it in each its own way, of similarity 0.69."""
+    words = lambda name, k: " ".join(f"{name}{family}x{i}" for i in range(k))
+    form = words("form", 400)
+    return words, form, [f"{form} {words(f'own{i}f', 90)}" for i in range(n)]
+
+
+def pair_classes(texts):
+    """As near_classes, pair by pair; for texts without repeated shingles."""
+    bags, least = [set(shingles(t)) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(bags[i] & bags[j])
+        if both >= 0.8 * (len(bags[i]) + len(bags[j]) - both):
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    return dict(enumerate(least))
+
+
+def class_ids(spark, texts):
+    return {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_pairs_hidden_among_look_alikes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64, raising=False)
+    texts = []
+    for family in range(3):
+        words, form, others = form_texts(family, 400)
+        texts += [*others, *(f"{form} {words(name, 45)}" for name in ("left", "right"))]
+    want = pair_classes(texts)
+    assert len(set(want.values())) == len(texts) - 3
+    assert class_ids(spark, texts) == want
+
+
+def test_shared_elements_are_counted_in_strips():
+    r = np.random.default_rng(3)
+    items = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 50, 50, 90)]
+    for width in (7, 4096):
+        got = minhash._shared(items, width)
+        assert all(got[i, j] == len(np.intersect1d(items[i], items[j])) for i, j in itertools.permutations(range(6), 2))
+
+
 def test_signatures_are_unbiased_for_weights():
     r = random.Random(1)
     for copies in (1, 3, 6):

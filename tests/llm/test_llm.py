@@ -162,6 +162,19 @@ def test_pairs_hidden_among_look_alikes(spark, monkeypatch):
     assert class_ids(spark, texts) == want
 
 
+def test_links_of_drifting_versions(spark):
+    texts = []
+    for family in range(4):
+        words, form, others = form_texts(family, 60)
+        for side in "ab":
+            first = f"{words(side, 47)} {form}"
+            texts += [*(f"{first} {words(f'{side}{k}u', 6)}" for k in range(4)), first]
+        texts += others
+    want = pair_classes(texts)
+    assert [list(want.values()).count(70 * family) for family in range(4)] == [10] * 4
+    assert class_ids(spark, texts) == want
+
+
 def test_shared_elements_are_counted_in_strips():
     r = np.random.default_rng(3)
     items = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 50, 50, 90)]

@@ -135,14 +135,13 @@ def check_contract(a: Analyzer) -> list[str]:
     return bad
 
 
-def unready(a: Analyzer, facts: dict[str, DataFrame]) -> list[str]:
-    """Ids of input facts that are placeholders or incomplete, if the analyzer minds; a hundred at most
-    are named."""
+def unready(a: Analyzer, facts: dict[str, DataFrame]) -> DataFrame | None:
+    """Ids (id) of input facts that are placeholders or incomplete, if the analyzer minds."""
     if a.on_incomplete == "allow":
-        return []
+        return None
     n = facts["nodes"].where(F.col("kind").isin(*a.inputs) & M.is_placeholder_node()).select("id")
     e = facts["edges"].where(F.col("kind").isin(*a.inputs) & M.is_incomplete_edge()).select("id")
-    return [r.id for r in n.union(e).orderBy("id").limit(100).collect()]
+    return n.union(e)
 
 
 TARGETS = ("", "node", "edge", "policy_result", "metric", "observation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Build:
         self.spark, self.o = spark, options
         self.facts: dict[str, DataFrame] = {s: M.empty(spark, s) for s in M.SECTIONS}
         self.runs: list[tuple] = []
+        self.notes: list[DataFrame] = []
         self.known = spark.createDataFrame([], "id string")
 
     def stamp(self, df: DataFrame, section: str, run: str, analyzer: str) -> DataFrame:
@@ -70,40 +72,66 @@ class Build:
             self.facts[section] = keep(both.coalesce(PARTS)) if len(self.runs) % 4 == 3 or section == "edges" else both
         return n
 
-    def record(self, stage: str, analyzer: str, began: datetime, status: str, notes: list[str], n: int, config_hash: str = "") -> None:
+    def record(self, stage: str, analyzer: str, began: datetime, status: str, notes: DataFrame | None, n: int, config_hash: str = "") -> None:
+        """``notes`` (source, reason) become the run's messages."""
         now = datetime.now(UTC).isoformat()
-        self.runs.append((run_id(stage, analyzer, began), analyzer, "1", stage, "", config_hash, began.isoformat(), now, status, notes, n))
+        run = run_id(stage, analyzer, began)
+        if notes is not None:
+            self.notes.append(notes.select(F.lit(run).alias("runId"), F.concat_ws(": ", "source", "reason").alias("note")))
+        self.runs.append((len(self.runs), run, analyzer, "1", stage, "", config_hash, began.isoformat(), now, status, n))
+
+    def noted(self, result: dict[str, DataFrame]) -> DataFrame | None:
+        """(source, reason) of a result's diagnostics, if there are any."""
+        if "diagnostics" not in result:
+            return None
+        notes = keep(result["diagnostics"].select("source", "reason"))
+        return None if notes.isEmpty() else notes
 
     def stage(self, name: str, result: dict[str, DataFrame]) -> None:
         began = datetime.now(UTC)
-        notes = [f"{r.source}: {r.reason}" for r in result["diagnostics"].select("source", "reason").limit(1000).collect()] if "diagnostics" in result else []
+        notes = self.noted(result)
         n = self.add(result, run_id(name, f"indexer.{name}", began), f"indexer.{name}")
-        self.record(name, f"indexer.{name}", began, "partial" if notes else "completed", notes, n)
+        self.record(name, f"indexer.{name}", began, "completed" if notes is None else "partial", notes, n)
 
     def analyze(self, a: A.Analyzer, sections: dict[str, bytes], context: A.Context) -> None:
         """Contract, readiness, run, checks, merge: all of a result or nothing of it."""
         began, raw = datetime.now(UTC), sections.get(a.section)
         digest = C.hash_of(raw)
-        wrong, status, result = A.check_contract(a), "analysis_error", {}
-        if not wrong and (open_ := A.unready(a, self.facts)):
-            wrong, status = [f"analyzer requires complete input scope: {', '.join(open_)}"], "partial"
-        if not wrong:
+        status, result, wrong = "analysis_error", {}, None
+        listed = lambda reasons: self.spark.createDataFrame([(r,) for r in reasons], "reason string")
+        if bad := A.check_contract(a):
+            wrong = listed(bad)
+        elif (open_ := A.unready(a, self.facts)) is not None and not (open_ := keep(open_)).isEmpty():
+            ids = open_.agg(F.sort_array(F.collect_list("id")).alias("evidence"))
+            wrong, status = ids.select(F.concat(F.lit("analyzer requires complete input scope: "), F.array_join("evidence", ", ")).alias("reason"), "evidence"), "partial"
+        else:
             try:
                 context.config, context.config_hash, context.facts = A.config_of(raw), digest, self.facts
                 result = {s: keep(M.conform(d, s)) for s, d in a.run(context).items()}
-                wrong = [r.reason for r in A.check_result(a, self.known, result).limit(1000).collect()]
+                found = keep(A.check_result(a, self.known, result))
+                wrong = None if found.isEmpty() else found
             except Exception as e:  # noqa: BLE001  an analyzer's failure is a finding, not the end
-                wrong = [" ".join(str(e).split())[:500]]
+                wrong = listed([" ".join(str(e).split())[:500]])
         run = run_id(a.stage, a.id, began)
-        if wrong:
+        if wrong is not None:
             kind = "analysis_skipped_incomplete_scope" if status == "partial" else "analysis_error"
-            rows = [("warning" if status == "partial" else "error", f"analyzer:{a.id}", w, a.stage, a.id, kind) for w in wrong]
-            self.add({"diagnostics": self.spark.createDataFrame(rows, "level string, source string, reason string, stage string, analyzerId string, status string")}, run, a.id)
-            self.record(a.stage, a.id, began, status, [f"analyzer:{a.id}: {w}" for w in wrong], 0, digest)
+            values = {"level": "warning" if status == "partial" else "error", "source": f"analyzer:{a.id}", "stage": a.stage, "analyzerId": a.id, "status": kind}
+            wrong = wrong.withColumns({c: F.lit(v) for c, v in values.items()})
+            self.add({"diagnostics": wrong}, run, a.id)
+            self.record(a.stage, a.id, began, status, wrong, 0, digest)
             return
         n = self.add(result, run, a.id)
-        notes = [f"{r.source}: {r.reason}" for r in result["diagnostics"].select("source", "reason").limit(1000).collect()] if "diagnostics" in result else []
-        self.record(a.stage, a.id, began, "partial" if notes else "completed", notes, n, digest)
+        notes = self.noted(result)
+        self.record(a.stage, a.id, began, "completed" if notes is None else "partial", notes, n, digest)
+
+    def ran(self) -> DataFrame:
+        """The runs so far, in order, with their messages."""
+        names = "seq int, runId string, analyzerId string, analyzerVersion string, stage string, inputGraphVersion string, configurationHash string, startedAt string, finishedAt string, status string, emittedFacts bigint"
+        runs = self.spark.createDataFrame(self.runs, names)
+        notes = reduce(DataFrame.union, self.notes, self.spark.createDataFrame([], "runId string, note string"))
+        notes = notes.groupBy("runId").agg(F.sort_array(F.collect_list("note")).alias("diagnostics"))
+        every = runs.join(notes, "runId", "left").withColumn("diagnostics", F.coalesce("diagnostics", F.array().cast("array<string>")))
+        return keep(every.coalesce(1).sortWithinPartitions("seq").select(*M.schema("runs").names))
 
     def run(self, loads: DataFrame | None = None) -> dict[str, DataFrame]:
         """``loads`` (package, errors, imports) is what a Go loader found; without it structure decides."""
@@ -129,7 +157,7 @@ class Build:
         for a in A.plan(list(o.include), list(o.skip)):
             self.analyze(a, sections, context)
         queries = complexity.policy_queries(self.facts["policyResults"])
-        ran = any(r[3] == "complexity_metrics" for r in self.runs)
+        ran = any(r[4] == "complexity_metrics" for r in self.runs)
         for mode in ("package", "domain"):
             queries = queries.unionByName(complexity.complexity_queries(self.facts["nodes"], self.facts["metrics"], self.facts["edges"], self.facts["diagnostics"], mode, ran))
         last: dict[str, DataFrame] = {"queries": queries}
@@ -139,8 +167,7 @@ class Build:
             row = (f"file:{file}", file, W.short_hash(old), W.short_hash(old + b"\n// simulated unsaved edit\n"), "superseded", "simulated_changed_content_requires_reindex", M.EXTRACTOR)
             last["freshness"] = spark.createDataFrame([row], "factId string, sourceFile string, oldHash string, newHash string, status string, reason string, extractorVersion string")
         self.stage("query_materialization", last)
-        names = "runId string, analyzerId string, analyzerVersion string, stage string, inputGraphVersion string, configurationHash string, startedAt string, finishedAt string, status string, diagnostics array<string>, emittedFacts bigint"
-        self.facts["runs"] = spark.createDataFrame(self.runs, names)
+        self.facts["runs"] = self.ran()
         return self.facts
 
 

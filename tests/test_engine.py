@@ -1,10 +1,14 @@
 """A workspace from files to reports, through every stage and analyzer."""
 
 import json
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from factloom import model as M
 from factloom.operators import reports
+from factloom.plans import analyzers as A
 from factloom.plans import engine
 
 FILES = {
@@ -54,3 +58,17 @@ def test_sinks(facts, tmp_path):
     assert path.endswith("g.json") and (tmp_path / "out" / "g.json").read_text() == "{}\n"
     problems = json.loads(engine.report({k: facts[k] for k in reports.PROBLEMS}, "problems", reports.Options(limit=1)))
     assert problems["summary"]["truncated"] and len(problems["policyResults"]) == 1
+
+
+def test_findings_and_messages_are_not_cut(spark):
+    b = engine.Build(spark, engine.Options("."))
+    context = A.Context(spark, b.facts, {})
+    many = spark.range(1200).selectExpr("concat('warning:', id) as id", "'' as kind", "'syntax_observed' as trustLevel")
+    first = A.ANALYZERS[0]
+    b.analyze(replace(first, id="bad", emits=("warning",), run=lambda c: {"warnings": many}, on_incomplete="allow"), {}, context)
+    b.facts["nodes"] = M.conform(spark.range(150).selectExpr("concat('package:', id) as id", "'package' as kind", "true as synthetic", "'inferred' as trustLevel"), "nodes")
+    b.analyze(replace(first, id="open", inputs=("package",), on_incomplete="require_complete"), {}, context)
+    b.stage("some", {"diagnostics": spark.range(1100).selectExpr("'warning' as level", "concat('s', id) as source", "'r' as reason")})
+    rows = {r.analyzerId: r for r in b.facts["diagnostics"].groupBy("analyzerId").agg(F.count("*").alias("n"), F.max(F.size("evidence")).alias("named"), F.max(F.size(F.split("reason", ", "))).alias("said")).collect()}
+    assert rows["bad"].n >= 1200 and (rows["open"].n, rows["open"].named, rows["open"].said) == (1, 150, 150)
+    assert [(r.analyzerId, r.status, len(r.diagnostics)) for r in b.ran().collect()] == [("bad", "analysis_error", rows["bad"].n), ("open", "partial", 1), ("indexer.some", "partial", 1100)]

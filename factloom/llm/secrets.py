@@ -62,14 +62,15 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         i = where.find(cue)
         while i >= 0:
             at.append(i)
-            i = where.find(cue, i + len(cue))
+            i = where.find(cue, i + 1)
     hexa = np.zeros(len(data) + 2, bool)
     hexa[1:-1] = (data >= 48) & (data <= 57) | (data >= 97) & (data <= 102)
-    turn = np.flatnonzero(hexa[1:] != hexa[:-1])
-    at += turn[::2][turn[1::2] - turn[::2] >= LEAST["hex"]].tolist()
-    # a run may span two documents: look at both
-    last = turn[1::2][turn[1::2] - turn[::2] >= LEAST["hex"]] - 1
-    at += last.tolist()
+    # a run ends where its document does
+    turn = hexa[1:] != hexa[:-1]
+    turn[offsets] = True
+    edge = np.flatnonzero(turn)
+    first, size = edge[:-1], np.diff(edge)
+    at += first[hexa[first + 1] & (size >= LEAST["hex"])].tolist()
     return np.unique(np.searchsorted(offsets, np.array(at, np.int64), "right") - 1)
 
 

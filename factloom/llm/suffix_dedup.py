@@ -2,22 +2,33 @@
 
 A byte goes if a string of ``length`` bytes over it also starts in a document of smaller id.
 
-Routing. Each such string has one anchor: of the hashes of its 20-byte substrings the least,
-leftmost on ties. It depends on the string's bytes only, so all places of a string meet under
-the hash of its anchor. Consecutive strings of one anchor form a context, 50 to 80 bytes. Copies
-of a whole context settle at once, first among the documents of one task and then among all of
-its anchor: every byte of a copy in a larger id goes, so only the copy of least id travels on.
-
-Merging. What remains under an anchor hash are different contexts that may share shorter strings.
-They are put into shards; each shard's multi-string Burrows-Wheeler transform is built on its own,
-and the transforms are merged by iterative interleave refinement (Holt and McMillan 2014; Egidi
-and Manzini 2017): starting from the shards one behind the other, each round sends every entry to
-the place of the suffix that begins one symbol earlier, by one stable sort on the symbols. After k
+Routing. Each such string has one anchor: of the hashes of its ANCHOR-byte substrings the least,
+leftmost on ties. It depends on the string's bytes only, so all places of a string meet under the
+hash of its anchor. Consecutive strings of one anchor form a context of less than twice ``length``
+bytes. Documents are dealt to blocks once; a block and the buckets that anchors are hashed to then
+talk in three rounds, all of which the block answers from its own texts:
+
+1. the block sends the distinct anchors it has, as differences of sorted hashes; a bucket answers
+   which of them stand in another document, and which have very many contexts;
+2. for these anchors, each distinct context travels as a hash with its least id: this settles the
+   copies of a whole context, of which only the one of least id goes on, and only where its anchor
+   has other contexts. The contexts of a very frequent anchor are taken apart into their single
+   strings here, which are nothing but whole copies, so no anchor gathers in one task;
+3. the bytes of what is still open, one context for all its copies, go to the merge.
+
+Merging. What remains under an anchor are different contexts that may share shorter strings. They
+are put into shards; each shard's multi-string Burrows-Wheeler transform is built on its own, and
+the transforms are merged by iterative interleave refinement (Holt and McMillan 2014; Egidi and
+Manzini 2017): starting from the shards one behind the other, each round sends every entry to the
+place of the suffix that begins one symbol earlier, by one stable sort on the symbols. After k
 rounds the interleave is right for prefixes of length k, and a boundary that appears in round k
 is a common prefix of k - 1. Suffixes are never compared or sorted again. After ``length`` rounds
 the intervals between boundaries are the repeated strings; in each, entries of larger documents
 than its least one give the bytes to remove.
 
+Hashes route and pre-aggregate: two contexts count as copies where 48 bits of their anchor's hash
+and 48 bits of their own agree; partial matches are decided on bytes.
+
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; null ids
 order after all others; rows with equal ids take nothing from each other; each input row gives one
 row (equal rows equal ones); an empty table gives an empty result; extra columns are ignored.
@@ -26,7 +37,6 @@ row (equal rows equal ones); an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,173 +44,346 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import settle
-from .textops import U64, chunks, flat, prefix_hash, span_hash
+from .textops import U64, flat, mix, powers, prefix_hash, span_hash
 
 #: Bytes of an anchor.
-ANCHOR = 20
-#: Bytes of contexts in a shard whose transform is built on its own.
-SHARD = 1 << 15
+ANCHOR = 32
+#: Bits of an anchor's and of a context's hash that travel.
+BITS = U64(48)
+#: Bytes of text that are hashed at a time.
+SEGMENT = 1 << 17
+#: Bits of a place in a segment; the other bits of a packed value order the anchors.
+PLACE = U64(24)
+#: An anchor with more contexts than this, counted block by block, is taken apart into strings.
+HOT = 2000
+#: Bytes of contexts in a shard whose transform is built on its own, and in one merge, at least.
+SHARD, MERGE = 1 << 15, 1 << 21
 #: Symbols of a suffix that its entry carries, from which the first interleave is made.
 SEED = 6
-#: Buckets at least: documents then meet in as many rows each, whatever the size of the input.
-BUCKETS = 64
+#: Blocks and buckets for each partition of the input.
+BLOCKS, BUCKETS = 4, 2
 TOP = (1 << 63) - 1
 
 
-def _entry(length: int) -> np.dtype:
-    """Anchor, context hash, start, size, place of the anchor, document of a context."""
-    small = "u1" if 2 * length < 256 else "<u4"
-    return np.dtype([("h", "<u4"), ("c", "<u8"), ("s", "<u4"), ("n", small), ("p", small), ("d", "<u4")])
-
-
 # ---- contexts -----------------------------------------------------------------------------
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, size, anchor's place in it, anchor hash and own hash of every context."""
-    n, width = len(data), length - ANCHOR + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
-    prefix = prefix_hash(data)
-    at = np.arange(n - ANCHOR + 1)
-    anchor = span_hash(prefix, at, at + ANCHOR)
-    bits = U64(max(1, int(n).bit_length()))
-    least = (anchor >> bits << bits) | at.astype(U64)  # the place breaks ties, leftmost first
-    span = 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    place = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    start = np.arange(len(place))
-    doc = np.searchsorted(offsets, start, "right") - 1
-    valid = start + length <= offsets[doc + 1]
-    start, place, doc = start[valid], place[valid], doc[valid]
-    if not len(start):
-        return none, none, none, none, none.astype(U64), none.astype(U64)
-    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
-    end = np.append(new[1:], len(start)) - 1
-    a, b = start[new], start[end] + length
-    return doc[new], a - offsets[doc[new]], b - a, place[new] - a, anchor[place[new]], span_hash(prefix, a, b)
-
-
-def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that makes equal keys neighbours, and where each run of them begins."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    change = np.zeros(len(order), bool)
-    if len(order):
-        change[0] = True
-        for k in keys:
-            k = k[order]
-            change[1:] |= k[1:] != k[:-1]
-    return order, np.flatnonzero(change)
-
-
-def _pack(docs: np.ndarray, entries: np.ndarray, bucket: np.ndarray, covers: bool) -> Iterator[tuple[int, bool, bytes, bytes]]:
-    """(bucket, covers?, table of documents, entries) for each bucket; docs: (id, row key)."""
-    order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True) if len(bucket) else ():
-        part = entries[a:b].copy()
-        used, part["d"] = np.unique(part["d"], return_inverse=True)
-        yield int(bucket[a]), covers, docs[used].tobytes(), part.tobytes()
-
-
-def _emit(length: int, buckets: int):  # noqa: ANN202
-    """Contexts by bucket. Copies inside the task settle here: (covers) for all but the least id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            docs = np.concatenate([d for d, _ in held])
-            shift = np.cumsum([0, *(len(d) for d, _ in held)])
-            for (_, e), s in zip(held, shift, strict=False):
-                e["d"] += np.uint32(s)
-            found = np.concatenate([e for _, e in held])
-            held.clear()
-            owner = docs[found["d"], 0]
-            key = (found["h"].astype(U64) << U64(32)) ^ found["c"]
-            order, begin = _group(key, found["h"])
-            least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner[:0]
-            least = np.repeat(least, np.diff(np.append(begin, len(order))))
-            ours = owner[order] == least
-            rows = []
-            travel, settled = found[order[ours]], found[order[~ours]]
-            rows += _pack(docs, travel, (travel["h"] % np.uint32(buckets)).astype(np.int64), False)
-            rows += _pack(docs, settled, (docs[settled["d"], 1] % buckets).astype(np.int64), True)
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "covers", "docs", "entries"])
-
-        for batch in batches:
-            data, offsets = flat(batch["text"])
-            ids = np.stack([batch["doc_id"].to_numpy(zero_copy_only=False), batch["row_key"].to_numpy(zero_copy_only=False)], 1).astype(np.int64)
-            for a, b in chunks(offsets):
-                doc, start, n, p, h, c = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                e = np.zeros(len(doc), _entry(length))
-                e["h"], e["c"], e["s"], e["n"], e["p"], e["d"] = h >> U64(32), c, start, n, p, doc
-                held.append((ids[a:b], e))
-                size += len(e)
-                if size > 1_500_000:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+    """Start in ``data``, size, anchor's place in it, anchor hash and own hash of every context, by
+    start. Contexts also end where a segment does, which no result depends on."""
+    n = len(data)
+    size = np.diff(offsets)
+    ok = size >= length
+    turn = np.zeros(n + 1, np.int8)
+    turn[offsets[:-1][ok]] += 1
+    turn[offsets[1:][ok] - length + 1] -= 1
+    valid = np.cumsum(turn, dtype=np.int8).astype(bool)
+    found = []
+    for low in range(0, max(0, n - length + 1), SEGMENT):
+        piece = data[low : low + SEGMENT + length - 1]
+        prefix, (_, down) = prefix_hash(piece), powers(len(piece) + 1)
+        anchor = mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * down[: len(prefix) - ANCHOR])
+        least = anchor >> PLACE << PLACE | np.arange(len(anchor), dtype=U64)
+        width, span = length - ANCHOR + 1, 1
+        while 2 * span <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        place = (least & ((U64(1) << PLACE) - U64(1))).astype(np.int64)
+        here = valid[low : low + len(place)]
+        change = np.ones(len(place) + 1, bool)
+        change[1:-1] = (place[1:] != place[:-1]) | (here[1:] != here[:-1])
+        cut = np.flatnonzero(change)
+        first = cut[:-1][here[cut[:-1]]]
+        last = cut[1:][here[cut[:-1]]] - 1 + length
+        place = place[first]
+        own = mix((prefix[last] - prefix[first]) * down[first])
+        # the least hashes are chosen, so they are mixed again to be even
+        found.append((first + low, last - first, place - first, mix(anchor[place] ^ U64(0x9E3779B97F4A7C15)) >> (U64(64) - BITS), own >> (U64(64) - BITS)))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(U64), none.astype(U64)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _planes(values: np.ndarray, width: int = 6) -> bytes:
+    """The low bytes of all numbers, then the next ones: high planes of small numbers compress away."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _numbers(planes: bytes, width: int = 6) -> np.ndarray:
+    raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
+def _steps(ordered: np.ndarray) -> bytes:
+    return _planes(np.diff(ordered, prepend=ordered[:1] * 0), 8)
+
+
+def _sums(planes: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(planes, 8), dtype=U64)
+
+
+def _heads(*ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins."""
+    new = np.zeros(len(ordered[0]), bool)
+    new[:1] = True
+    for x in ordered:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(heads, n))
+
+
+def _bounds(heads: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Where each run begins and ends."""
+    return zip(heads.tolist(), [*heads[1:].tolist(), n][: len(heads)], strict=True)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+class Block:
+    """The documents of a block, in an order of their own, with their contexts and entries."""
+
+    def __init__(self, docs: pa.Table, replies: pa.Table | None, length: int, buckets: int) -> None:
+        ids, keys = docs["doc_id"].to_numpy(), docs["row_key"].to_numpy()
+        docs = docs.take(pa.array(np.lexsort((keys, ids))))
+        self.ids, self.length, self.buckets = docs["doc_id"].to_numpy(), length, buckets
+        self.data, self.offsets = flat(docs["text"])
+        self.start, self.size, self.place, self.anchor, self.own = contexts(self.data, self.offsets, length)
+        self.owner = self.ids[np.searchsorted(self.offsets, self.start, "right") - 1] if len(self.start) else self.start
+        self.order = np.argsort(self.anchor, kind="stable")
+        self.heads = _heads(self.anchor[self.order])
+        self.said: dict[int, list] = {1: [], 2: [], 3: []}
+        if replies is not None:
+            for kind, bucket, x, y in sorted(zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "x", "y")), strict=True)):
+                self.said[kind].append((bucket, x, y))
+
+    def parts(self, ordered: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The buckets of sorted hashes, and which part each has."""
+        of = ((ordered * U64(self.buckets)) >> BITS).astype(np.int64)
+        for a, b in _bounds(_heads(of), len(of)):
+            yield int(of[a]), slice(a, b)
+
+    def anchors(self) -> Iterator[tuple]:
+        """Round 1: (bucket, distinct anchors, contexts of each up to 127 and 128 if of two ids)."""
+        runs = _runs(self.heads, len(self.order))
+        known = np.ones(len(self.heads), np.uint8)
+        many = runs > 1
+        if many.any():
+            at = self.order[np.repeat(many, runs)]
+            run = np.repeat(np.arange(len(runs))[many], runs[many])
+            by = np.lexsort((self.own[at], run))
+            at, run = at[by], run[by]
+            first = _heads(run)
+            owner = self.owner[at]
+            distinct = np.bincount(run[_heads(run, self.own[at])], minlength=len(runs))[many]
+            two = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+            known[many] = np.minimum(distinct, 127) + two * 128
+        ordered = self.anchor[self.order[self.heads]]
+        for bucket, part in self.parts(ordered):
+            yield bucket, _steps(ordered[part]), known[part].tobytes()
+
+    def _told(self, kind: int, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two flags for each of the sorted hashes, as the buckets answered."""
+        x, y = np.zeros(len(ordered), bool), np.zeros(len(ordered), bool)
+        answers = {b: (p, q) for b, p, q in self.said[kind]}
+        for bucket, part in self.parts(ordered):
+            n = part.stop - part.start
+            for out, bits in zip((x, y), answers[bucket], strict=True):
+                out[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        return x, y
+
+    def settle(self) -> None:
+        """Round 2: the contexts, or strings, of anchors that stand in other documents too; ``entry``
+        numbers those that are equal, whose least owner is ``least``."""
+        runs = _runs(self.heads, len(self.order))
+        shared, hot = (np.repeat(f, runs) for f in self._told(1, self.anchor[self.order[self.heads]]))
+        whole, apart = np.sort(self.order[shared & ~hot]), np.sort(self.order[shared & hot])
+        key, own = [self.anchor[whole]], [self.own[whole]]
+        self.at, self.long, self.by = self.start[whole], self.size[whole], self.owner[whole]
+        self.single = np.zeros(len(whole), bool)
+        if len(apart):
+            n = self.size[apart] - self.length + 1
+            first, owner, part = [], [], np.cumsum(n) // SEGMENT  # their bytes are hashed some at a time
+            for g in np.split(np.arange(len(apart)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+                begin, size, n_g = self.start[apart[g]], self.size[apart[g]], n[g]
+                base = np.cumsum(size) - size
+                text = self.data[np.repeat(begin - base, size) + np.arange(size.sum())]
+                step = np.arange(n_g.sum()) - np.repeat(np.cumsum(n_g) - n_g, n_g)
+                at = np.repeat(base, n_g) + step
+                value = span_hash(prefix_hash(text), at, at + self.length)
+                key.append(mix(value ^ U64(0xD6E8FEB86659FD93)) >> (U64(64) - BITS))
+                own.append(value >> (U64(64) - BITS))
+                first.append(np.repeat(begin, n_g) + step)
+                owner.append(np.repeat(self.owner[apart[g]], n_g))
+            self.at, self.by = np.concatenate([self.at, *first]), np.concatenate([self.by, *owner])
+            self.long = np.concatenate([self.long, np.full(len(self.at) - len(whole), self.length)])
+            self.single = np.arange(len(self.at)) >= len(whole)
+        self.place_of = np.concatenate([self.place[whole], np.zeros(len(self.at) - len(whole), np.int64)])
+        key, own = np.concatenate(key), np.concatenate(own)
+        order = np.lexsort((self.by, own, key))
+        key, own, self.inst = key[order], own[order], order
+        self.first = _heads(key, own)
+        self.key, self.value = key[self.first], own[self.first]
+        self.entry = np.repeat(np.arange(len(self.first)), _runs(self.first, len(order)))
+        self.least = self.by[order[self.first]]
+
+    def entries(self) -> Iterator[tuple]:
+        """(bucket, hashes, context hashes, rank of the owner, owners) of all entries."""
+        for bucket, part in self.parts(self.key):
+            ids, rank = np.unique(self.least[part], return_inverse=True)
+            yield bucket, _steps(self.key[part]), _planes(self.value[part]), _planes(rank, 4), _steps(ids.astype(np.int64).view(U64))
+
+    def answer(self) -> None:
+        self.covered, self.open = self._told(2, self.key)
+
+    def opened(self) -> Iterator[tuple]:
+        """(bucket, hashes, entries, owners, sizes, places, bytes) of one context for each open entry."""
+        inst = self.inst[self.first]
+        keep = np.flatnonzero(self.open & ~self.covered & ~self.single[inst])
+        ordered, inst = self.key[keep], inst[keep]
+        for bucket, part in self.parts(ordered):
+            at, size = self.at[inst[part]], self.long[inst[part]]
+            text = self.data[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            owner = self.least[keep[part]].astype(np.int64).view(U64)
+            yield bucket, _steps(ordered[part]), _planes(keep[part], 4), _planes(owner, 8), _planes(size, 4), _planes(self.place_of[inst[part]], 4), text.tobytes()
+
+    def gone(self) -> np.ndarray:
+        """Whether each byte goes."""
+        owner, entry = self.by[self.inst], self.entry
+        whole = self.covered[entry] | (owner > self.least[entry])
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        at, size = self.at[self.inst], self.long[self.inst]
+        np.add.at(edge, at[whole], 1)
+        np.add.at(edge, at[whole] + size[whole], -1)
+        runs = _runs(self.first, len(entry))
+        for _, x, y in self.said[3]:
+            named, place = _numbers(x, 4).astype(np.int64), _numbers(y, 4).astype(np.int64)
+            # every copy in the block of the context that was merged
+            n = runs[named]
+            copies = np.repeat(self.first[named] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            begin = at[copies] + np.repeat(place, n)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + self.length, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+_int, _bin = pa.int32(), pa.binary()
+_REPLY = pa.schema([("block", _int), ("kind", _int), ("bucket", _int), ("x", _bin), ("y", _bin)])
+_ANCHORS = pa.schema([("bucket", _int), ("block", _int), ("hash", _bin), ("known", _bin)])
+_ENTRIES = pa.schema([("bucket", _int), ("block", _int), ("hash", _bin), ("own", _bin), ("rank", _bin), ("ids", _bin)])
+_OPENED = pa.schema([("bucket", _int), ("block", _int), *((c, _bin) for c in ("hash", "entry", "owner", "size", "place", "bytes"))])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", _bin)])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {_int: "int", pa.int64(): "long", _bin: "binary", pa.string(): "string"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def _send_anchors(length: int, buckets: int):  # noqa: ANN202
+    def run(docs: pa.Table) -> pa.Table:
+        number = docs["block"][0].as_py()
+        return _table([(b, number, *x) for b, *x in Block(docs, None, length, buckets).anchors()], _ANCHORS)
+
+    return run
+
+
+def _weigh_anchors(hot: int):  # noqa: ANN202
+    """Of each anchor: does it stand in two documents, and has it more than ``hot`` contexts?"""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = [_sums(x) for x in rows["hash"].to_pylist()]
+        known = np.frombuffer(b"".join(rows["known"].to_pylist()), np.uint8)
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        heads = _heads(every[order])
+        n, known = _runs(heads, len(order)), known[order]
+        shared = (n > 1) | (np.maximum.reduceat(known, heads) > 127)
+        much = np.add.reduceat((known & 127).astype(np.int64), heads) > hot
+        out = np.zeros((2, len(order)), bool)
+        out[0, order], out[1, order] = np.repeat(shared, n), np.repeat(shared & much, n)
+        return _answers(rows, 1, [len(x) for x in lists], out)
+
+    return run
+
+
+def _answers(rows: pa.Table, kind: int, sizes: list[int], flags: np.ndarray) -> pa.Table:
+    ends = np.cumsum([0, *sizes])
+    bucket = rows["bucket"][0].as_py()
+    return _table([(block, kind, bucket, _bits(flags[0, a:b]), _bits(flags[1, a:b])) for block, a, b in zip(rows["block"].to_pylist(), ends, ends[1:], strict=False)], _REPLY)
+
+
+def _send_entries(length: int, buckets: int):  # noqa: ANN202
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        block, number = Block(docs, replies, length, buckets), docs["block"][0].as_py()
+        block.settle()
+        return _table([(b, number, *x) for b, *x in block.entries()], _ENTRIES)
 
     return run
 
 
-def _settle_bucket(length: int):  # noqa: ANN202
-    return lambda table: _settled(table, _entry(length))
-
-
-def _settled(table: pa.Table, kind: np.dtype) -> pa.Table:
-    """All contexts of a bucket: (doc_id, row_key, covers, open) per document. Covered contexts are
-    (start, size); open ones, whose anchor has other contexts elsewhere, (anchor, start, size, place of the anchor)."""
-    ids, parts, flags, base = [], [], [], 0
-    for covers, docs, entries in zip(table["covers"].to_pylist(), table["docs"].to_pylist(), table["entries"].to_pylist(), strict=True):
-        d = np.frombuffer(docs, "<i8").reshape(-1, 2)
-        e = np.frombuffer(entries, kind).copy()
-        e["d"] += np.uint32(base)
-        base += len(d)
-        ids.append(d)
-        parts.append(e)
-        flags.append(np.full(len(e), covers))
-    docs, e, settled = np.concatenate(ids), np.concatenate(parts), np.concatenate(flags)
-    keep = e[~settled]
-    owner = docs[keep["d"], 0]
-    order, begin = _group(keep["h"], keep["c"])
-    keep, owner = keep[order], owner[order]
-    runs = np.diff(np.append(begin, len(order)))
-    least = np.repeat(np.minimum.reduceat(owner, begin), runs) if len(begin) else owner
-    covered = owner > least
-    # by anchor: several contexts, and more than one document
-    heads = np.flatnonzero(np.concatenate([[True], keep["h"][1:] != keep["h"][:-1]])) if len(keep) else np.zeros(0, np.int64)
-    wide = np.diff(np.append(heads, len(keep)))
-    several = np.add.reduceat(np.isin(np.arange(len(keep)), begin).astype(int), heads) > 1 if len(heads) else np.zeros(0, bool)
-    mixed = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads) if len(heads) else several
-    undecided = np.repeat(several & mixed, wide) & ~covered
-    gone = np.concatenate([e[settled], keep[covered]])
-    still = keep[undecided]
-    out = {}
-    for name, what in (("covers", gone), ("open", still)):
-        what = what[np.argsort(what["d"], kind="stable")]
-        cut = np.flatnonzero(np.concatenate([[True], what["d"][1:] != what["d"][:-1]])) if len(what) else []
-        for a, b in zip(cut, [*cut[1:], len(what)], strict=True) if len(what) else ():
-            cols = [what["s"][a:b].astype("<u4"), what["n"][a:b].astype("<u4")]
-            if name == "open":
-                cols = [what["h"][a:b].astype("<u4"), *cols, what["p"][a:b].astype("<u4")]
-            out.setdefault(int(what["d"][a]), {})[name] = np.stack(cols, 1).tobytes()
-    at = np.array(list(out), np.int64)
-    return pa.table({
-        "doc_id": pa.array(docs[at, 0] if len(at) else [], pa.int64()), "row_key": pa.array(docs[at, 1] if len(at) else [], pa.int64()),
-        "covers": pa.array([x.get("covers", b"") for x in out.values()], pa.binary()), "open": pa.array([x.get("open", b"") for x in out.values()], pa.binary()),
-    })
+def _weigh_entries(rows: pa.Table) -> pa.Table:
+    """Of each context: has a smaller document a copy, and has its anchor another one elsewhere?"""
+    lists, owner = [_sums(x) for x in rows["hash"].to_pylist()], []
+    for rank, ids in zip(rows["rank"].to_pylist(), rows["ids"].to_pylist(), strict=True):
+        owner.append(_sums(ids).view(np.int64)[_numbers(rank, 4).astype(np.int64)])
+    key, own, owner = np.concatenate(lists), np.concatenate([_numbers(x) for x in rows["own"].to_pylist()]), np.concatenate(owner)
+    order = np.lexsort((owner, own, key))
+    key, own, owner = key[order], own[order], owner[order]
+    copies, anchors = _heads(key, own), _heads(key)
+    least = np.repeat(owner[copies], _runs(copies, len(order)))
+    wide = _runs(anchors, len(order))
+    several = np.add.reduceat(np.isin(np.arange(len(order)), copies, assume_unique=True).astype(np.int64), anchors) > 1
+    mixed = np.minimum.reduceat(least, anchors) < np.maximum.reduceat(least, anchors)
+    out = np.zeros((2, len(order)), bool)
+    out[0, order], out[1, order] = owner > least, np.repeat(several & mixed, wide)
+    return _answers(rows, 2, [len(x) for x in lists], out)
+
+
+def _send_open(length: int, buckets: int):  # noqa: ANN202
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        block, number = Block(docs, replies, length, buckets), docs["block"][0].as_py()
+        block.settle()
+        block.answer()
+        return _table([(b, number, *x) for b, *x in block.opened()], _OPENED)
+
+    return run
+
+
+def _remove(length: int, buckets: int):  # noqa: ANN202
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        block = Block(docs, replies, length, buckets)
+        block.settle()
+        block.answer()
+        gone, at = block.gone(), block.offsets
+        total = np.concatenate([[0], np.cumsum(gone)])
+        begins = np.concatenate([gone[:1], gone[1:] & ~gone[:-1]])
+        # a document's run does not go on from the one before
+        begins[at[:-1][at[:-1] < len(gone)]] |= gone[at[:-1][at[:-1] < len(gone)]]
+        spans = np.concatenate([[0], np.cumsum(begins)])
+        kept, left = block.data[~gone].tobytes(), at - total[at]
+        rows = []
+        for i, (a, b) in enumerate(zip(left, left[1:], strict=False)):
+            x, y = at[i], at[i + 1]
+            part = kept[a:b]
+            rows.append((int(block.ids[i]), int(y - x), int(total[y] - total[x]), int(spans[y] - spans[x]), hashlib.sha256(part).hexdigest(), part))
+        return _table(rows, _RESULT)
+
+    return run
 
 
 # ---- transforms ---------------------------------------------------------------------------
@@ -308,104 +491,102 @@ def repeated(strings: list[bytes], owners: np.ndarray, length: int) -> list[tupl
     return list(zip(which[hit].tolist(), place[hit].tolist(), strict=True))
 
 
-def promising(rows: list[tuple], length: int) -> list[tuple]:
-    """Rows (anchor hash, context, ..., place of the anchor) that may share a string with another.
-
-    A shared string holds the anchor and ``length`` - ANCHOR bytes around it, so half of those lie
-    on one side; contexts that no other one equals there, on either side, share nothing."""
-    half = (length - ANCHOR + 1) // 2
-    sides = []
-    for h, text, *_, p in rows:
-        left = (h, text[p - half : p + ANCHOR]) if p >= half else None
-        right = (h, text[p : p + ANCHOR + half], 1) if len(text) - p >= ANCHOR + half else None
-        sides.append((left, right))
-    seen = Counter(s for both in sides for s in both if s)
-    return [r for r, both in zip(rows, sides, strict=True) if any(s and seen[s] > 1 for s in both)]
+def trim(anchor: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): how many bytes each context has in common, on either side of its anchor, with
+    another of the anchor. Where these are fewer than ``length`` - ANCHOR, it shares no string."""
+    prefix, at = prefix_hash(text), begin + place
+    out = []
+    for side, room in ((-1, place), (1, size - place - ANCHOR)):
+        best = np.zeros(len(at), np.int64)
+        live = np.flatnonzero(room > 0)
+        for k in range(1, length - ANCHOR + 1):
+            live = live[room[live] >= k]
+            first = at[live] - k if side < 0 else at[live] + ANCHOR
+            key = mix(span_hash(prefix, first, first + k) ^ (anchor[live] * U64(0x9E3779B97F4A7C15)))
+            order = np.argsort(key, kind="stable")
+            n = _runs(heads := _heads(key[order]), len(order))
+            live = np.sort(live[order[np.repeat(n > 1, n)]])
+            if not len(live):
+                break
+            best[live] = k
+        out.append(best)
+    return out[0], out[1]
+
+
+def _merged(anchor: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, owner: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """(row, place in it) of the strings that a row of smaller owner also has; rows by anchor."""
+    left, right = trim(anchor, text, begin, size, place, length)
+    rows = np.flatnonzero(left + right >= length - ANCHOR)
+    raw, per = text.tobytes(), {}
+    for i, a, b in zip(rows.tolist(), (begin + place - left)[rows].tolist(), (begin + place + ANCHOR + right)[rows].tolist(), strict=True):
+        per.setdefault(raw[a:b], []).append(i)
+    strings = sorted(per)
+    first = (place - left).tolist()
+    least = np.array([min(owner[per[s]]) for s in strings], np.int64)
+    hits: dict[int, list[int]] = {}
+    for k, p in repeated(strings, least, length):
+        hits.setdefault(k, []).append(p)
+    out: tuple[list[int], list[int]] = [], []
+    for k, s in enumerate(strings):
+        for i in per[s]:
+            places = range(len(s) - length + 1) if owner[i] > least[k] else hits.get(k, ())
+            out[0].extend([i] * len(places))
+            out[1].extend(first[i] + p for p in places)
+    return out
 
 
 def _merge_bucket(length: int):  # noqa: ANN202
-    def run(table: pa.Table) -> pa.Table:
-        names = ("anchor", "context", "doc_id", "row_key", "start", "place")
-        rows = promising(list(zip(*(table[c].to_pylist() for c in names), strict=True)), length)
-        rows.sort()
-        found = repeated([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length)
-        per: dict[int, list[int]] = {}
-        for i, p in found:
-            per.setdefault(i, []).append(p)
-        doc, key, covers = [], [], []
-        for i, places in per.items():
-            _, _, d, k, s, _ = rows[i]
-            doc.append(d)
-            key.append(k)
-            covers.append(np.array([(s + p, length) for p in places], "<u4").tobytes())
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "row_key": pa.array(key, pa.int64()), "covers": pa.array(covers, pa.binary())})
-
-    return run
-
-
-def _cut_contexts(buckets: int):  # noqa: ANN202
-    """The bytes of open contexts, by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for d, k, text, opens in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist(), strict=True):
-                raw = text.encode()
-                for part in opens:
-                    out += [(h % buckets, h, raw[s : s + n], p, d, k, s) for h, s, n, p in np.frombuffer(part, "<u4").reshape(-1, 4).tolist()]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "anchor", "context", "place", "doc_id", "row_key", "start"])
+    def run(rows: pa.Table) -> pa.Table:
+        cols = {c: rows[c].to_pylist() for c in rows.column_names}
+        lists = [_sums(x) for x in cols["hash"]]
+        anchor = np.concatenate(lists)
+        block = np.repeat(cols["block"], [len(x) for x in lists])
+        entry, size, place = (np.concatenate([_numbers(x, 4) for x in cols[c]]).astype(np.int64) for c in ("entry", "size", "place"))
+        owner = np.concatenate([_numbers(x, 8) for x in cols["owner"]]).view(np.int64)
+        raw = np.frombuffer(b"".join(cols["bytes"]), np.uint8)
+        begin = np.cumsum(size) - size
+        order = np.argsort(anchor, kind="stable")
+        heads = _heads(anchor[order])
+        # whole anchors, some bytes at a time
+        much = np.cumsum(np.add.reduceat(size[order], heads)) // MERGE
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b in _bounds(heads[_heads(much)], len(order)):
+            at = order[a:b]
+            n = size[at]
+            text = raw[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            row, p = _merged(anchor[at], text, np.cumsum(n) - n, n, place[at], owner[at], length)
+            row = at[np.array(row, np.int64)]
+            found.append((block[row], entry[row], np.array(p, np.int64)))
+        blocks, entries, places = map(np.concatenate, zip(*found, strict=True))
+        by = np.argsort(blocks, kind="stable")
+        blocks, entries, places = blocks[by], entries[by], places[by]
+        bucket = cols["bucket"][0]
+        return _table([(int(blocks[a]), 3, bucket, _planes(entries[a:b], 4), _planes(places[a:b], 4)) for a, b in _bounds(_heads(blocks), len(blocks))], _REPLY)
 
     return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for text, covers in zip(batch["text"].to_pylist(), batch["covers"].to_pylist(), strict=True):
-            raw = text.encode()
-            spans = 0
-            kept = raw
-            if covers:
-                at = np.concatenate([np.frombuffer(c, "<u4").reshape(-1, 2) for c in covers]).astype(np.int64)
-                edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, at[:, 0], 1)
-                np.add.at(edge, at[:, 0] + at[:, 1], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        yield pa.record_batch([batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
-
-
-def _by_document(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """doc_id, row_key, covers and open (arrays) of the documents that share anything."""
-    emitted = docs.mapInArrow(_emit(length, buckets), "bucket int, covers boolean, docs binary, entries binary")
-    by_bucket = emitted.groupBy("bucket").applyInArrow(_settle_bucket(length), "doc_id long, row_key long, covers binary, open binary")
-    known = lambda c: F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c)
-    return by_bucket.groupBy("doc_id", "row_key").agg(known("covers"), known("open"))
-
-
-def deduplicate(documents: DataFrame, length: int = 50) -> DataFrame:
+def deduplicate(documents: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) per row."""
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    spark = documents.sparkSession
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    per = settle(_by_document(docs, length, buckets), wait=True)
-    opened = docs.join(per.where(F.size("open") > 0).select("doc_id", "row_key", "open"), ["doc_id", "row_key"])
-    cut = opened.select("doc_id", "row_key", "text", "open").mapInArrow(_cut_contexts(buckets), "bucket int, anchor long, context binary, place int, doc_id long, row_key long, start long")
-    # the same rows may stand twice; their contexts are one
-    merged = cut.distinct().groupBy("bucket").applyInArrow(_merge_bucket(length), "doc_id long, row_key long, covers binary")
-    late = merged.groupBy("doc_id", "row_key").agg(F.collect_list("covers").alias("late"))
-    both = per.select("doc_id", "row_key", "covers").join(late, ["doc_id", "row_key"], "left")
-    both = both.select("doc_id", "row_key", F.concat("covers", F.coalesce("late", F.array().cast("array<binary>"))).alias("covers"))
-    all_rows = docs.join(both, ["doc_id", "row_key"], "left")
-    out = all_rows.select("doc_id", "text", "covers").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    parts = docs.rdd.getNumPartitions()
+    buckets = min(BUCKETS * max(parts, 8), 1 << 15)
+    # equal rows of different partitions of the input may go to different blocks
+    number = F.pmod(F.xxhash64("doc_id", "row_key", F.spark_partition_id()), F.lit(BLOCKS * max(parts, 8))).cast("int")
+    # one shuffle of the texts serves all rounds
+    docs = docs.withColumn("block", number).repartition("block")
+
+    def ask(run, kinds: pa.Schema, replies: DataFrame) -> DataFrame:  # noqa: ANN001
+        return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run(length, buckets), _ddl(kinds))
+
+    def told(sent: DataFrame, run) -> DataFrame:  # noqa: ANN001
+        return sent.groupBy("bucket").applyInArrow(run, _ddl(_REPLY)).repartition("block")
+
+    first = told(docs.groupBy("block").applyInArrow(_send_anchors(length, buckets), _ddl(_ANCHORS)), _weigh_anchors(hot))
+    second = first.union(told(ask(_send_entries, _ENTRIES, first), _weigh_entries))
+    third = second.union(told(ask(_send_open, _OPENED, second), _merge_bucket(length)))
+    out = ask(_remove, _RESULT, third)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != TOP, F.col("doc_id")))

@@ -55,7 +55,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses, ``n`` at least."""
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         for i, step in enumerate((_BASE, _INVERSE)):
@@ -67,7 +68,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash; ``span_hash`` reads the hash of any span from it."""
-    up, _ = _tables(len(data) + 1)
+    up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=out[1:])
     return out
@@ -75,7 +76,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of spans [start, end): equal bytes, equal hash, wherever they stand."""
-    _, down = _tables(len(prefix))
+    _, down = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start])
 
 

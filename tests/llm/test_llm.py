@@ -91,10 +91,41 @@ def test_merged_transforms_find_what_brute_force_finds(monkeypatch):
         assert sorted(suffix_dedup.repeated(strings, owners, n)) == want
 
 
-def test_suffix_dedup_equals_brute_force(spark, texts):
+def removal(df, **given):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, **given).collect()}
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs, texts):
     want = removed([(i, (t or "").encode()) for i, t in texts.items()], 50)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op1_suffix_array_dedup(spark, str(SF)).collect()}
     assert got == want
+    # anchors of more than a few contexts taken apart: the same rows
+    assert removal(docs, hot=2) == want
+
+
+def test_a_passage_with_a_neighbourhood_of_its_own_everywhere(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    line, other = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(9))
+    texts = [f"{' '.join(word() for _ in range(r.randint(0, 6)))} {r.choice([line, line, other, line[:70], line[40:]])} {' '.join(word() for _ in range(r.randint(0, 6)))}" for _ in range(240)]
+    texts += ["z" * 400, "z" * 130, "ab" * 90, texts[3], "", "x" * 49, texts[3][:50], "é" * 60, None]
+    want = removed([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+    for parts, hot in ((1, 2000), (5, 40), (3, 0)):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts, "doc_id")
+        assert removal(df, hot=hot) == want
+
+
+def test_contexts_do_not_depend_on_what_is_beside_them():
+    r = np.random.default_rng(4)
+    text = r.integers(97, 101, 3000).astype(np.uint8)
+    found = []
+    for before in (0, 777, suffix_dedup.SEGMENT - 1500):
+        data = np.concatenate([r.integers(97, 101, before).astype(np.uint8), text])
+        start, size, place, anchor, own = suffix_dedup.contexts(data, np.array([0, before, len(data)]), 50)
+        here = start >= before
+        found.append(set(zip((start + place)[here] - before, anchor[here], strict=True)))
+        assert all(size[here] >= 50) and (start + size)[here].max() == len(data)
+    assert found[0] == found[1] == found[2]
 
 
 # ---- op 2 ----

@@ -22,15 +22,49 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textops import chunks, flat
+
 MARK = "▁"
-#: Words whose ids are kept in a Python worker; beyond it the store is emptied.
-STORE = 400_000
+#: Words, and pairs of pieces, that a Python worker remembers (some 250 and 100 bytes each);
+#: words longer than LONG are not kept.
+STORE, PAIRS, LONG = 200_000, 400_000, 48
+#: Bytes of text that are cut into words at a time; a longer text is alone.
+SLICE = 1 << 23
+
+
+class Recent(dict):
+    """The latest results: a full generation becomes the older one, whose hits move to the new."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.half, self.older = size // 2, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        found = self.older.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:  # noqa: ANN001
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Pieces:
@@ -55,8 +89,8 @@ class Pieces:
         self._reset()
 
     def _reset(self) -> None:
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words, self.pairs = Recent(STORE), Recent(PAIRS)
+        #: Whether merging gives a piece whole: at most an entry for each piece of the vocabulary.
         self.whole: dict[str, bool] = {}
 
     def __getstate__(self) -> dict:
@@ -80,77 +114,90 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _joins(self, left: str, right: str) -> bool:
-        ok = self.whole.get(right)
-        if ok is None:
-            ok = self.whole[right] = self.merged(right) == [right]
-        if not ok or not left:
-            return ok
-        ok = self.pairs.get((left, right))
+    def _joins(self, left: str, right: str, a: int, b: int) -> bool:
+        """Whether merging their joint text gives exactly these two, of ids ``a`` and ``b``."""
+        if len(right) > 1:
+            ok = self.whole.get(right)
+            if ok is None:
+                ok = self.whole[right] = self.merged(right) == [right]
+            if not ok:
+                return False
+        if not left:
+            return True
+        # no piece or marked word holds a space
+        key = a << 32 | b if a >= 0 and b >= 0 else f"{left} {right}"
+        ok = self.pairs[key]
         if ok is None:
-            if len(self.pairs) > 4 * STORE:
-                self.pairs.clear()
-            ok = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            ok = self.merged(left + right) == [left, right]
+            self.pairs.keep(key, ok)
         return ok
 
-    def search(self, words: list[str]) -> None:
-        """Fill the store for sorted ``words``: one walk of their trie."""
+    def search(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """Ids of each of the sorted ``words``: one walk of their trie."""
         of, longest, score = self.of, self.longest, [0.0]
-        last, before = [""], ""
+        last, number, before = [""], [-1], ""
         for word in words:
             n, keep = min(len(before), len(word)), 0
             while keep < n and before[keep] == word[keep]:
                 keep += 1
-            del last[keep + 1 :], score[keep + 1 :]
+            del last[keep + 1 :], number[keep + 1 :], score[keep + 1 :]
             for i in range(keep + 1, len(word) + 1):
-                best, top = None, -1e300
+                best, at, top = None, -1, -1e300
                 for j in range(i - 1, max(-1, i - longest - 1), -1):
                     piece = word[j:i]
-                    if piece not in of and i - j > 1:
+                    k = of.get(piece, -1)
+                    if k < 0 and i - j > 1:
                         continue
                     if self.bpe:
-                        if self._joins(last[j], piece):
-                            best = piece
+                        if self._joins(last[j], piece, number[j], k):
+                            best, at = piece, k
                             break
                     else:
-                        k = of.get(piece)
-                        s = score[j] + (self.scores[k] if k is not None else -100.0)
+                        s = score[j] + (self.scores[k] if k >= 0 else -100.0)
                         if s > top:
-                            best, top = piece, s
+                            best, at, top = piece, k, s
                 if best is None:  # no path in the lattice: merge this prefix itself
                     best = self.merged(word[:i])[-1]
+                    at = of.get(best, -1)
                 last.append(best)
+                number.append(at)
                 score.append(top)
             before = word
             parts, i = [], len(word)
             while i:
-                parts.append(last[i])
+                parts.append((last[i], number[i]))
                 i -= len(last[i])
             ids: list[int] = []
-            for piece in reversed(parts):
-                k = of.get(piece)
-                if k is not None:
+            for piece, k in reversed(parts):
+                if k >= 0:
                     ids.append(k)
                 elif self.byte_ids:
                     ids += [self.byte_ids[b] for b in piece.encode()]
                 else:
                     ids.append(self.unk)
-            self.words[word] = tuple(ids)
+            yield tuple(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text begins (length + 1)."""
-        split, flat, offsets = re.compile(self.pattern).findall, [], [0]
-        units = [split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > STORE:
-            self.words.clear()
-        new = set().union(*units) - self.words.keys() if units else set()
-        self.search(sorted(new))
-        words, extend = self.words, flat.extend
-        for text in units:
-            for word in text:
-                extend(words[word])
-            offsets.append(len(flat))
-        return np.array(flat, np.int32), np.array(offsets, np.int64)
+        split, number = re.compile(self.pattern).findall, Numbers()
+        codes = [np.fromiter(map(number.__getitem__, split(MARK + t.replace(" ", MARK))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        found = list(map(self.words.__getitem__, number))
+        unknown = sorted(w for w, ids in zip(number, found, strict=True) if ids is None)
+        for word, ids in zip(unknown, self.search(unknown), strict=True):
+            found[number[word]] = ids
+            if len(word) <= LONG:
+                self.words.keep(word, ids)
+        # the ids of each distinct word once, then gathered for all its occurrences
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        del number, found, unknown
+        first = np.cumsum(size) - size
+        at = np.cumsum([0, *(int(size[c].sum()) for c in codes)])
+        out = np.empty(at[-1], np.int32)
+        for c, a, b in zip(codes, at, at[1:], strict=False):
+            long = size[c]
+            out[a:b] = ids[np.repeat(first[c] - (np.cumsum(long) - long), long) + np.arange(b - a)]
+        return out, at
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text, the mark before its first word left out."""
@@ -175,7 +222,7 @@ def load(model_path: str) -> Pieces:
 RESULT = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip")
 
 
-def encode(documents: DataFrame, pieces: Pieces, digests: bool = True, rows: int = 500) -> DataFrame:
+def encode(documents: DataFrame, pieces: Pieces, digests: bool = True) -> DataFrame:
     """Carried columns (not the text) and n_tokens, token_ids; with ``digests`` also ids_sha256
     (of little-endian 32-bit ids), decoded_sha256 and round_trip, from decoding the ids again."""
     carried = [c for c in documents.columns if c != "text" and c not in RESULT]
@@ -185,12 +232,12 @@ def encode(documents: DataFrame, pieces: Pieces, digests: bool = True, rows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, rows):
-                batch = whole.slice(lo, rows)
+            _, offsets = flat(whole["text"])
+            for lo, hi in chunks(offsets, SLICE):
+                batch = whole.slice(lo, hi - lo)
                 texts = batch["text"].to_pylist()
                 ids, at = search.encode(texts)
-                lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(ids)).cast(pa.list_(pa.int32()))
-                found = [pa.array(np.diff(at)), lists]
+                found = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))]
                 if digests:
                     parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
                     back = [search.decode(x) for x in parts]
@@ -201,3 +248,19 @@ def encode(documents: DataFrame, pieces: Pieces, digests: bool = True, rows: int
     kinds = dict(zip(RESULT, (T.LongType(), T.ArrayType(T.IntegerType()), T.StringType(), T.StringType(), T.BooleanType()), strict=True))
     schema = T.StructType([*documents.select(*carried).schema.fields, *(T.StructField(c, kinds[c]) for c in names)])
     return documents.select(*carried, "text").mapInArrow(run, schema)
+
+
+def decode(documents: DataFrame, pieces: Pieces, ids: str = "token_ids") -> DataFrame:
+    """All columns but one named text, and ``text``, which the ids spell (null or no ids: "").
+    Bytes that are no UTF-8, as ids in an order that no text has can give, become U+FFFD."""
+    carried = [c for c in documents.columns if c != "text"]
+    shared = documents.sparkSession.sparkContext.broadcast(pieces)  # one vocabulary: its size is fixed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = shared.value.decode
+        for batch in batches:
+            texts = [spell(np.asarray(x.values)).decode("utf-8", "replace") if x.is_valid else "" for x in batch[ids]]
+            yield pa.record_batch([*(batch[c] for c in carried), pa.array(texts, pa.string())], [*carried, "text"])
+
+    schema = T.StructType([*documents.select(*carried).schema.fields, T.StructField("text", T.StringType())])
+    return documents.select(*carried).mapInArrow(run, schema)

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame, wait: bool = False) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read from there, its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local run)
     a temporary folder is made for it. A written table, unlike a checkpoint, does not inherit the
     size that was estimated for the plan behind it: in rounds of joins that number gains digits
-    until the driver's memory is full of them. ``wait`` for large shuffles, whose files should be
-    gone before the next ones are written.
+    until the driver's memory is full of them.
     """
     spark, kind = df.sparkSession, df.schema
     path = f"{_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # what led to the table is not needed again: let Spark's cleaner drop its shuffle files now
-    del df
-    release(spark.sparkContext, wait)
     out = spark.read.schema(kind).parquet(path)
     out.settled_at = path
     return out

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components, discard, settle
 from .textops import U64, chunks, flat, mix, prefix_hash, span_hash, word_spans
@@ -44,7 +45,7 @@ BANDS = SLOTS // ROWS
 #: A pair must agree in this share of slots to be verified; one of similarity 0.8 agrees in fewer
 #: with probability below 1e-5.
 PRESUMED = 0.6
-#: Hubs of a bucket in the first round: the least id and other members.
+#: Hubs of a bucket in the first round, the least id and other members, and hubs that a member meets.
 HUBS = 4
 #: Members, and elements of their multisets, in a block of a bucket, about.
 BLOCK, BLOCK_ITEMS = 256, 2_000_000
@@ -127,7 +128,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     bits = np.ascontiguousarray(signature).view(U64).reshape(len(signature), -1, ROWS)
     out = np.zeros(bits.shape[:2], U64)
     for r in range(ROWS):
-        out = mix(out ^ (bits[:, :, r] + GOLDEN * U64(r + 1)))
+        out = mix(out ^ (bits[:, :, r] + np.array([r + 1], U64) * GOLDEN))
     return mix(out + np.arange(out.shape[1], dtype=U64)[None, :] * GOLDEN).view(np.int64)
 
 
@@ -318,8 +319,12 @@ def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold
     first = signed.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     second = signed.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     seeds = [F.col("id"), *(F.xxhash64("id", F.lit(i)) for i in range(1, HUBS))]
-    hubs = members.groupBy("band").agg(F.array_distinct(F.array(*(F.min_by("id", F.struct(s, "id")) for s in seeds))).alias("hubs"))
-    pairs = members.join(hubs, "band").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    hubs = members.groupBy("band").agg(F.array_distinct(F.array(*(F.min_by("id", F.struct(s, "id")) for s in seeds))).alias("hubs"), F.count(F.lit(1)).alias("n"))
+    pairs = members.join(hubs, "band").select("id", F.explode("hubs").alias("hub"), "n").where("id <> hub")
+    # a member meets the hubs it shares most bands with; only in a bucket of two is nothing tried later
+    pairs = pairs.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"), F.min("n").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), F.xxhash64("hub"), "hub"))
+    pairs = pairs.withColumn("turn", turn).where(F.col("turn").between(1, HUBS) | (F.col("n") == 2))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     likely = settle(pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"))
     items = multisets(likely.select(F.explode(F.array("a", "b")).alias("id")))

@@ -6,13 +6,19 @@ times, or, with ``target_entropy``, the largest whose weights keep that entropy
 where the repetition limit asks for it. Weights become token quotas of a budget; by default the
 smallest budget that passes over every document at least once, so nothing is lost. A quota is
 realised in passes (epochs): each pass is a permutation of the source's blocks, and of the
-documents in each block; the last one is cut where the quota is spent. Only the block it is cut in
-is summed row by row, so a source of any size is never gathered in one task.
+documents in each block; the last one is cut where the quota is spent.
+
+Rows of a source in the order epoch, block_order, block, row_order, doc_id are the realised sequence.
+Where the last pass ends is found by narrowing: block sizes are summed over ranges of block_order,
+then block by block in the range that holds the end, then row by row in the block that does. Every
+row can then tell by itself how often it comes, so texts are not shuffled and a source of any size
+is never gathered in one task. What must fit into a row is one entry for each source.
 
 Defined cases: null source is a source of its own (""), null text has no tokens; a source without
-tokens has no weight and keeps its documents once; repeated rows are documents of their own; an
-empty table gives an empty result; extra columns are carried by ``realise`` unless they have the
-names it adds.
+tokens has no weight and keeps its documents once; repeated rows are documents of their own, but
+those equal in id and size are all passed over or all not where the last pass is cut; an empty
+table gives an empty result; extra columns are carried by ``realise`` unless they have the names
+it adds.
 """
 
 from __future__ import annotations
@@ -21,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import discard, settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Halvings of the exponent's interval; beyond these a double does not change.
 HALVINGS = 60
-ADDED = ("n_tokens", "epoch", "block")
+ADDED = ("n_tokens", "epoch", "block", "block_order", "row_order")
+#: Ranges of block_order, a 32-bit number, in which block sizes are first summed.
+RANGES = 4096
 
 
 def _number(*parts: Column) -> Column:
@@ -35,14 +45,16 @@ def _number(*parts: Column) -> Column:
 def weights(documents: DataFrame, max_repetition: float = 2.0, target_entropy: float | None = None, budget: int | None = None, block_rows: int = 4096) -> DataFrame:
     """One row per source: tokens, documents, weight, quota, full passes, rest, blocks, exponent."""
     per = documents.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    shares = per.where("tokens > 0").agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t"))
+    # all sources side by side in one row, and apart again at the end
+    row = per.agg(F.sort_array(F.collect_list(F.struct("source", "tokens", "n_docs"))).alias("all"))
+    row = row.withColumn("t", F.transform(F.filter("all", lambda s: s["tokens"] > 0), lambda s: s["tokens"].cast("double")))
+    row = row.withColumn("top", F.array_max("t"))
+    # relative to the largest source, so powers stay in range
+    row = row.withColumn("t", F.array_sort(F.transform("t", lambda v: v / F.col("top"))))
 
     def total(x: Column, f) -> Column:  # noqa: ANN001
         return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
 
-    # relative to the largest source, so powers stay in range
-    shares = shares.withColumn("t", F.transform("t", lambda v: v / F.array_max("t")))
-    shares = shares.join(per.agg(F.max("tokens").cast("double").alias("top")))
     t, top = F.col("t"), F.col("top")
 
     def entropy(a: Column) -> Column:
@@ -68,11 +80,14 @@ def weights(documents: DataFrame, max_repetition: float = 2.0, target_entropy: f
     if target_entropy is not None:
         flat = F.when(entropy(F.lit(1.0)) >= target_entropy, F.lit(1.0)).otherwise(bisect(lambda a: entropy(a) < target_entropy)["lo"])
         least = F.greatest(least, flat)
-    found = shares.select(least.alias("exponent"), "top", "t").select("exponent", "top", total(F.col("t"), lambda v: F.pow(v, F.col("exponent"))).alias("z"))
+    # without any tokens there is no exponent to look for
+    row = row.withColumn("exponent", F.when(F.size("t") > 0, least).otherwise(F.lit(0.0)))
+    row = row.withColumn("z", total(t, lambda v: F.pow(v, F.col("exponent"))))
+    out = row.select("exponent", "top", "z", F.explode("all").alias("s")).select("exponent", "top", "z", "s.*")
     power = F.pow(F.col("tokens") / F.col("top"), F.col("exponent"))
     # with z the sum of powers, the weight is power / z and the default budget top * z
     spend = F.col("top") * power if budget is None else F.lit(float(budget)) * power / F.col("z")
-    out = per.join(found).withColumn("weight", F.when(F.col("tokens") > 0, power / F.col("z")).otherwise(F.lit(0.0)))
+    out = out.withColumn("weight", F.when(F.col("tokens") > 0, power / F.col("z")).otherwise(F.lit(0.0)))
     out = out.withColumn("quota", F.when(F.col("tokens") > 0, F.round(spend).cast("long")).otherwise(F.lit(0).cast("long")))
     return out.select(
         "source", "tokens", "n_docs", "exponent", "weight", "quota",
@@ -82,48 +97,71 @@ def weights(documents: DataFrame, max_repetition: float = 2.0, target_entropy: f
     )
 
 
+def _orders(seed: int) -> tuple[Column, Column, Column]:
+    """block, and block_order and row_order in ``epoch``, of rows with _key, _ident and n_blocks."""
+    key, ident, epoch = F.col("_key"), F.col("_ident"), F.col("epoch").cast("string")
+    block = _number(F.lit(f"block{seed}"), ident) % F.col("n_blocks")
+    return block, _number(F.lit(f"order{seed}"), key, epoch, F.col("block").cast("string")), _number(F.lit(f"row{seed}"), epoch, ident)
+
+
+def _ends(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``plan`` with the place where each source's last pass ends: _until (block_order, block), whether
+    that block is _cut, and _last (row_order, ident, tokens) of the rows that still come in it."""
+    block, block_order, row_order = _orders(seed)
+    last = plan.withColumn("epoch", F.col("passes") + 1)
+    rows = counted.join(last, "_key").withColumn("block", block)
+    blocks = rows.groupBy("_key", "block", "epoch", "rest").agg(F.sum("n_tokens").alias("size"))
+    blocks = settle(blocks.withColumn("order", block_order).withColumn("range", F.floor(F.col("order") / ((1 << 32) // RANGES))).drop("epoch"))
+    before = lambda by, *order: F.coalesce(F.sum("size").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = blocks.groupBy("_key", "rest", "range").agg(F.sum("size").alias("size"))
+    ranges = ranges.withColumn("before", before(Window.partitionBy("_key"), "range")).where("before < rest")
+    ranges = ranges.groupBy("_key").agg(F.max(F.struct("range", "before")).alias("r")).select("_key", "r.range", F.col("r.before").alias("base"))
+    near = blocks.join(ranges, ["_key", "range"])
+    near = near.withColumn("before", F.col("base") + before(Window.partitionBy("_key"), "order", "block")).where("before < rest")
+    end = near.groupBy("_key").agg(F.max(F.struct("order", "block", "before", "size", "rest")).alias("e"))
+    end = settle(end.select("_key", F.struct("e.order", "e.block").alias("_until"), (F.col("e.before") + F.col("e.size") > F.col("e.rest")).alias("_cut"), (F.col("e.rest") - F.col("e.before")).alias("left")))
+    inside = rows.join(end.where("_cut"), "_key").where("block = _until.block").select("_key", "left", row_order.alias("turn"), F.col("_ident").alias("ident"), "n_tokens")
+    upto = F.sum("n_tokens").over(Window.partitionBy("_key").orderBy("turn", "ident", "n_tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    final = inside.withColumn("upto", upto).where("upto <= left").groupBy("_key").agg(F.max(F.struct("turn", "ident", "n_tokens")).alias("_last"))
+    out = settle(last.join(end.drop("left"), "_key", "left").join(final, "_key", "left"))
+    discard(blocks)
+    discard(end)
+    return out
+
+
 def realise(documents: DataFrame, seed: int = 0, **limits: float | int | None) -> DataFrame:
-    """All columns of ``documents`` with n_tokens, epoch (from 1) and block: a row for each time
-    a document is passed over. ``limits`` are those of ``weights``."""
+    """All columns of ``documents`` with n_tokens, epoch (from 1), block, block_order and row_order: a
+    row for each time a document is passed over. ``limits`` are those of ``weights``."""
     carried = [c for c in documents.columns if c not in ADDED]
-    named = documents.select(*carried).withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    key = F.coalesce(F.col("source"), F.lit(""))
-    counted = named.select(F.col("doc_id").alias("doc_id"), key.alias("source"), "n_tokens")
-    plan = weights(counted, **limits).select(F.col("source").alias("_source"), "passes", "rest", "n_blocks")
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        both = rows.join(plan, F.col("_key") == F.col("_source"))
-        both = both.withColumn("block", _number(F.lit(f"block{seed}"), ident) % F.col("n_blocks"))
-        return both.drop("_source", "n_blocks")
-
-    narrow = dealt(counted.withColumnRenamed("source", "_key"))
-    last = F.col("passes") + 1
-    blocks = narrow.groupBy("_key", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    order = _number(F.lit(f"order{seed}"), F.col("_key"), last.cast("string"), F.col("block").cast("string"))
-    by = Window.partitionBy("_key").orderBy(order, "block")
-    blocks = blocks.withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    state = F.when(F.col("upto") <= F.col("rest"), F.lit("all")).when(F.col("upto") - F.col("size") < F.col("rest"), F.lit("cut")).otherwise(F.lit("none"))
-    blocks = blocks.select(F.col("_key").alias("_k"), F.col("block").alias("_b"), state.alias("state"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
-    rows = dealt(named.withColumn("_key", key)).drop("rest")
-    rows = rows.join(blocks, (F.col("_key") == F.col("_k")) & (F.col("block") == F.col("_b"))).drop("_k", "_b")
-    # only the block that is cut is summed in the order of its permutation
-    turn = _number(F.lit(f"row{seed}"), last.cast("string"), ident)
-    within = Window.partitionBy("_key", "block").orderBy(turn, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.where("state = 'cut'").withColumn("_sum", F.sum("n_tokens").over(within))
-    cut = cut.withColumn("extra", (F.col("_sum") <= F.col("left")).cast("int")).drop("_sum")
-    rest = rows.where("state <> 'cut'").withColumn("extra", (F.col("state") == "all").cast("int") * (F.col("left") > 0).cast("int"))
-    copies = F.col("passes").cast("int") + F.col("extra")
-    rest = rest.unionByName(cut).where(copies > 0)
-    out = rest.withColumn("epoch", F.explode(F.sequence(F.lit(1), copies)))
-    return out.select(*carried, "n_tokens", "epoch", "block")
-
+    own = documents.select(*carried).withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    own = own.withColumn("_key", F.coalesce(F.col("source"), F.lit(""))).withColumn("_ident", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    # tokens are counted once for all that is decided, in a table without texts
+    counted = settle(own.select("_key", "_ident", "n_tokens"))
+    plan = weights(counted.select(F.col("_key").alias("source"), "n_tokens"), **limits).select(F.col("source").alias("_key"), "passes", "rest", "n_blocks")
+    ends = _ends(counted, settle(plan), seed)
+    discard(counted)
+    block, block_order, row_order = _orders(seed)
+    rows = own.join(ends, "_key").withColumn("block", block)
+    here, until = F.struct(block_order.alias("order"), F.col("block").alias("block")), F.col("_until")
+    row = F.struct(row_order.alias("turn"), F.col("_ident").alias("ident"), F.col("n_tokens").alias("n_tokens"))
+    inside = F.when(~F.col("_cut"), F.lit(True)).otherwise(F.coalesce(row <= F.col("_last"), F.lit(False)))
+    extra = F.when(until.isNull(), F.lit(False)).when(here < until, F.lit(True)).when(here == until, inside).otherwise(F.lit(False))
+    rows = rows.withColumn("_copies", F.col("passes").cast("int") + extra.cast("int")).where("_copies > 0")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.withColumn("block_order", block_order).withColumn("row_order", row_order).select(*carried, *ADDED)
+
+
+def repeat(documents: DataFrame, seed: int = 0, **limits: float | int | None) -> DataFrame:
+    """The rows of ``documents`` as often as they come, with its own columns, whatever their names."""
+    own = {c: f"_own{i}" for i, c in enumerate(documents.columns) if c in ADDED}
+    mixed = realise(documents.withColumnsRenamed(own), seed, **limits)
+    return mixed.drop(*ADDED).withColumnsRenamed({v: k for k, v in own.items()}).select(*documents.columns)
 
 
 #: The default settings in SQL; the exponent has a closed form there, which bisection meets.
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS ident, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents
 ), per AS (
   SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM d GROUP BY 1
 ), a AS (
@@ -137,15 +175,18 @@ WITH d AS (
 ), p AS (
   SELECT source, n_blocks, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM q
 ), r AS (
-  SELECT d.*, passes, rest, ('0x' || substr(md5('block0:' || doc_id), 1, 8))::BIGINT % n_blocks AS block FROM d JOIN p USING (source)
+  SELECT d.*, passes, rest, ('0x' || substr(md5('block0:' || ident), 1, 8))::BIGINT % n_blocks AS block FROM d JOIN p USING (source)
 ), b AS (
   SELECT source, block, sum(n_tokens) AS size, min(rest) AS rest, min(passes) AS passes FROM r GROUP BY 1, 2
 ), c AS (
   SELECT source, block, size, rest, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('order0:' || source || ':' || (passes + 1) || ':' || block), 1, 8))::BIGINT, block ROWS UNBOUNDED PRECEDING) AS upto FROM b
 ), s AS (
-  SELECT r.doc_id, r.source, r.n_tokens, r.block, r.passes,
-    (c.upto - c.size + sum(r.n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY ('0x' || substr(md5('row0:' || (r.passes + 1) || ':' || r.doc_id), 1, 8))::BIGINT, r.doc_id, r.n_tokens ROWS UNBOUNDED PRECEDING) <= c.rest AND c.upto - c.size < c.rest) AS extra
+  SELECT r.doc_id, r.ident, r.source, r.n_tokens, r.block, r.passes,
+    (c.upto - c.size + sum(r.n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY ('0x' || substr(md5('row0:' || (r.passes + 1) || ':' || r.ident), 1, 8))::BIGINT, r.ident, r.n_tokens RANGE UNBOUNDED PRECEDING) <= c.rest AND c.upto - c.size < c.rest) AS extra
   FROM r JOIN c ON r.source = c.source AND r.block = c.block
+), o AS (
+  SELECT doc_id, ident, source, n_tokens, unnest(range(1, (passes + extra::INT + 1)::BIGINT))::INT AS epoch, block FROM s
 )
-SELECT doc_id, source, n_tokens, unnest(range(1, (passes + extra::INT + 1)::BIGINT))::INT AS epoch, block FROM s
+SELECT doc_id, source, n_tokens, epoch, block, ('0x' || substr(md5('order0:' || source || ':' || epoch || ':' || block), 1, 8))::BIGINT AS block_order,
+  ('0x' || substr(md5('row0:' || epoch || ':' || ident), 1, 8))::BIGINT AS row_order FROM o
 """

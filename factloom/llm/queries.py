@@ -36,7 +36,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.realise(_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "epoch", "block")
+    return mixing.realise(_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *mixing.ADDED)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

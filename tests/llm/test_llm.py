@@ -310,6 +310,24 @@ def test_mixing_limits(docs):
     assert abs((w.quota / w.tokens).max() - 5) < 0.11 and abs(w.quota.sum() - 500) <= 2
 
 
+def test_mixing_of_many_blocks_and_repeated_rows_equals_sql(spark):
+    import duckdb
+
+    r = random.Random(11)
+    one = lambda source, i: (i, " ".join("w" * r.randint(1, 3) for _ in range(r.choice([0, 1, 2, 9]))), source)
+    rows_ = [one("big", i) for i in range(15_000)] + [one("mid", i) for i in range(15_000, 21_000)] + [one("odd", i) for i in range(21_000, 21_010)]
+    rows_ += [(7, "same words here", "mid")] * 900 + [(None, "no id", "odd"), (None, None, None), (21_500, None, "void"), (21_501, "", "void")]
+    spark.createDataFrame(rows_, "doc_id long, text string, source string").createOrReplaceTempView("mixed")
+    got = mixing.realise(spark.table("mixed").repartition(5)).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *mixing.ADDED).toPandas()
+    con = duckdb.connect()
+    con.register("documents", spark.table("mixed").toArrow())
+    want = con.sql(mixing.ORACLE).df()
+    assert want.block.nunique() > 3 and rows(got.astype({"doc_id": "Int64"})) == rows(want.astype({"doc_id": "Int64"}))
+    # every pass over a source is a permutation of its blocks, each block a run of it
+    for _, part in got[got.source == "big"].sort_values(["epoch", "block_order", "block", "row_order"]).groupby("epoch"):
+        assert (part.block != part.block.shift()).sum() == part.block.nunique()
+
+
 def test_collapse_keeps_maximal_conversations(spark):
     talk = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "z"), (4, 0, "user", "z"), (None, 0, None, None)]
     got = chat.collapse(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()

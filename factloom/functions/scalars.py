@@ -90,3 +90,16 @@ def is_local_path(c: Column) -> Column:
 def normal_name(c: Column) -> Column:
     """A section name without case, underscores, dashes and blanks."""
     return F.lower(F.translate(c, "_- ", ""))
+
+
+def middle_cut(value: Column | str, most: int) -> Column:
+    """At most ``most`` characters: the middle of longer texts becomes an ellipsis."""
+    c, head, tail = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")), most // 2, (most - 1) // 2
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, head), F.lit("…"), F.right(c, F.lit(tail))))
+
+
+def escape_html(value: Column | str) -> Column:
+    c = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c

@@ -85,6 +85,30 @@ ANALYZERS = (
     Analyzer("dependency_policy", "policy_evaluation", ("package", "imports"), ("policy_result", "warning", "edge", "diagnostic"), _policy, "packageImportPolicy"),
 )
 
+
+class Registry:
+    """Analyzers in the order they were registered."""
+
+    def __init__(self) -> None:
+        self._all: list[Analyzer] = []
+
+    def register(self, analyzer: Analyzer) -> None:
+        self._all.append(analyzer)
+
+    def analyzers(self) -> tuple[Analyzer, ...]:
+        """All of them, as a copy that later registrations do not change."""
+        return tuple(self._all)
+
+
+#: A result's rows in the order in which sinks list them.
+ORDER = {"diagnostics": ("source", "reason")}
+
+
+def in_order(result: Result) -> Result:
+    """A result's tables, each by id, diagnostics by source and reason."""
+    return {s: d.orderBy(*ORDER.get(s, ("id",))) for s, d in result.items()}
+
+
 SECTION_KIND = {"labels": "label", "metrics": "metric", "warnings": "warning", "policyResults": "policy_result", "observations": "observation", "diagnostics": "diagnostic", "edges": "edge"}
 
 

@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..operators import reports
-from . import analyzers, engine
+from ..sources import loads, workspace
+from . import analyzers, engine, viewer
 
 
 def _list(value: str) -> list[str]:
@@ -17,7 +18,7 @@ def _list(value: str) -> list[str]:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="factloom")
-    for name in ("path", "workspace-root", "source-base", "config", "policy-config", "output-dir", "module", "package", "file"):
+    for name in ("path", "workspace-root", "package-loads", "serve", "source-base", "config", "policy-config", "output-dir", "module", "package", "file"):
         p.add_argument(f"--{name}", default="")
     for name in ("analyzers", "skip-analyzers", "json-sections", "node-kinds", "edge-kinds", "observation-names"):
         p.add_argument(f"--{name}", type=_list, default=[])
@@ -39,11 +40,15 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     try:
         o = engine.Options(a.path, a.workspace_root, a.source_base, a.policy_config or a.config, tuple(a.analyzers), tuple(skip), a.simulate_change)
-        facts = engine.Build(spark, o).run()
+        facts = engine.Build(spark, o).run(loads.read(spark, a.package_loads) if a.package_loads else None)
+        if a.serve:
+            p = workspace.resolve(o.path, o.workspace, o.base)
+            viewer.serve(a.serve, facts, str(p.base))
+            return 0
         mode = "stats" if a.stats else "ddd" if a.ddd_report else "problems" if a.problems else "json"
         if mode == "json":
             chosen = reports.filter_graph(facts, sections, node_kinds=a.node_kinds, edge_kinds=a.edge_kinds, observation_names=a.observation_names)
-            text = engine.graph_json(chosen)
+            text = engine.graph_chunks(chosen)
         else:
             text = engine.report(facts, mode, reports.Options(a.module, a.package, a.file, a.limit))
         if path := engine.emit(f"{mode}.json", text, a.stdout, a.output_dir):

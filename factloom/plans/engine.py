@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
 
+from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..functions.scalars import classify_loading
+from ..functions.scalars import classify_loading, short_hash
 from ..operators import complexity, graph, reports
 from ..sources import config as C
 from ..sources import workspace as W
@@ -31,6 +33,8 @@ class Options:
     simulate_change: bool = False
 
 
+#: What an analyzer can do wrong itself; lost storage or executors are not findings about it.
+OWN_FAULTS = (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, AnalysisException, ArithmeticException, NumberFormatException, PythonException)
 #: Partitions that grown sections are drawn together to.
 PARTS = 200
 
@@ -39,6 +43,18 @@ def run_id(stage: str, analyzer: str, at: datetime) -> str:
     return f"run:{stage}:{analyzer}:{at:%Y%m%dT%H%M%S}.{at.microsecond:06d}000Z"
 
 
+#: Fixed value: what a simulated edit adds to a file.
+EDIT = "\n// simulated unsaved edit\n"
+
+
+def simulated_change(files: DataFrame) -> DataFrame:
+    """Freshness rows of files (sourceFile, content), as if each had an edit that is not indexed yet."""
+    return files.select(
+        F.concat(F.lit("file:"), "sourceFile").alias("factId"), "sourceFile", short_hash(F.col("content")).alias("oldHash"), short_hash(F.concat("content", F.lit(EDIT).cast("binary"))).alias("newHash"),
+        F.lit("superseded").alias("status"), F.lit("simulated_changed_content_requires_reindex").alias("reason"), F.lit(M.EXTRACTOR).alias("extractorVersion"),
+    )
+
+
 class Build:
     """Facts by section, each stage's rows stamped with its run."""
 
@@ -110,7 +126,7 @@ class Build:
                 result = {s: keep(M.conform(d, s)) for s, d in a.run(context).items()}
                 found = keep(A.check_result(a, self.known, result))
                 wrong = None if found.isEmpty() else found
-            except Exception as e:  # noqa: BLE001  an analyzer's failure is a finding, not the end
+            except OWN_FAULTS as e:  # an analyzer's failure is a finding, not the end
                 wrong = listed([" ".join(str(e).split())[:500]])
         run = run_id(a.stage, a.id, began)
         if wrong is not None:
@@ -163,9 +179,8 @@ class Build:
         last: dict[str, DataFrame] = {"queries": queries}
         changed = p.root / "order" / "service.go"
         if o.simulate_change and changed.exists():
-            old, file = changed.read_bytes(), p.rel(changed)
-            row = (f"file:{file}", file, W.short_hash(old), W.short_hash(old + b"\n// simulated unsaved edit\n"), "superseded", "simulated_changed_content_requires_reindex", M.EXTRACTOR)
-            last["freshness"] = spark.createDataFrame([row], "factId string, sourceFile string, oldHash string, newHash string, status string, reason string, extractorVersion string")
+            one = spark.createDataFrame([(p.rel(changed), changed.read_bytes())], "sourceFile string, content binary")
+            last["freshness"] = simulated_change(one)
         self.stage("query_materialization", last)
         self.facts["runs"] = self.ran()
         return self.facts
@@ -175,31 +190,78 @@ class Build:
 ALWAYS = ("sourceRecords", "nodes", "edges", "observations", "labels", "warnings", "queries", "pathJobs", "freshness", "diagnostics", "runs", "policyResults", "metrics")
 
 
-def graph_json(facts: dict[str, DataFrame | None]) -> str:
-    """Sections as one JSON object, two blanks a level, empty values left out."""
-    out = {}
-    for s in ALWAYS:
-        df = facts.get(s)
+def in_order(facts: dict[str, DataFrame | None]) -> dict[str, DataFrame | None]:
+    """Sections as sinks list them: by id, diagnostics by source and reason; queries, path jobs,
+    freshness and runs stay as they came."""
+    order = {"diagnostics": ("source", "reason"), "queries": (), "pathJobs": (), "freshness": (), "runs": ()}
+    return {s: df if df is None or not (by := order.get(s, ("id",))) else df.orderBy(*by) for s, df in facts.items()}
+
+
+def graph_chunks(facts: dict[str, DataFrame | None]) -> Iterator[str]:
+    """Sections as one JSON object, two blanks a level, empty values left out; a row at a time, so
+    what the driver holds does not grow with the graph."""
+    ordered = in_order(facts)
+    yield "{"
+    for n, s in enumerate(ALWAYS):
+        df = ordered.get(s)
+        yield f"{',' if n else ''}\n  {json.dumps(s)}: "
         if df is None:
-            out[s] = None
+            yield "null"
             continue
-        order = ("source", "reason") if s == "diagnostics" else ("id",) if "id" in df.columns and s != "queries" else ()
-        rows = (df.orderBy(*order) if order else df).toLocalIterator()
-        out[s] = [{k: v for k, v in r.asDict(True).items() if v not in ("", None, [], {})} for r in rows]
-    return json.dumps(out, indent=2, ensure_ascii=False)
+        empty = True
+        for r in df.toLocalIterator():
+            row = {k: v for k, v in r.asDict(True).items() if v not in ("", None, [], {})}
+            text = json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n    ")
+            yield f"{'[' if empty else ','}\n    {text}"
+            empty = False
+        yield "[]" if empty else "\n  ]"
+    yield "\n}"
 
 
-def emit(name: str, text: str, stdout: bool = False, folder: str = "") -> str:
+def graph_json(facts: dict[str, DataFrame | None]) -> str:
+    """The graph as one string, for graphs that fit into the driver."""
+    return "".join(graph_chunks(facts))
+
+
+def write_graph(facts: dict[str, DataFrame | None], folder: str) -> list[str]:
+    """Every section as JSON lines in a folder of its own, written by the executors; the folders."""
+    out = []
+    for s, df in in_order(facts).items():
+        if df is not None:
+            out.append(f"{folder.rstrip('/')}/{s}")
+            df.write.mode("overwrite").json(out[-1])
+    return out
+
+
+def emit(name: str, text: str | Iterable[str], stdout: bool = False, folder: str = "") -> str:
     """Print, or write to ``folder`` (tmp/report by default); the path that was written, or ""."""
+    chunks = [text] if isinstance(text, str) else text
     if stdout:
-        print(text)
+        for c in chunks:
+            print(c, end="")
+        print()
         return ""
     path = Path(folder or "tmp/report") / name
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text + "\n", encoding="utf-8")
+    with path.open("w", encoding="utf-8") as f:
+        f.writelines(chunks)
+        f.write("\n")
     return str(path)
 
 
+def summarise(facts: dict[str, DataFrame]) -> DataFrame:
+    """(part, name, value): node, edge and source record kinds counted, statuses of queries and path
+    jobs, trust of packages, freshness statuses counted."""
+    count = lambda part, section, c: facts[section].groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(part).alias("part"), "name", "value")
+    value = lambda part, df, name, c: df.select(F.lit(part).alias("part"), F.col(name).alias("name"), F.col(c).alias("value"))
+    parts = [
+        count("nodeKinds", "nodes", "kind"), count("edgeKinds", "edges", "kind"), count("sourceRecordKinds", "sourceRecords", "kind"), count("freshnessStatuses", "freshness", "status"),
+        value("queryStatuses", facts["queries"], "id", "status"), value("pathStatuses", facts["pathJobs"], "id", "status"), value("packageTrust", facts["nodes"].where("kind = 'package'"), "id", "trustLevel"),
+        value("placeholders", facts["nodes"].where("kind = 'placeholder'"), "id", "reason"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def register(facts: dict[str, DataFrame], prefix: str = "") -> None:
     """Every section as a temporary view for SQL."""
     for s, df in facts.items():

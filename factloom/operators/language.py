@@ -33,13 +33,11 @@ def contexts(spark: SparkSession, config: dict) -> DataFrame | None:
 def in_context(packages: DataFrame, ctx: DataFrame) -> DataFrame:
     """Packages with the context of the longest prefix of their path, the earliest on ties.
 
-    Every prefix of a path is a key, so this is an equi join whatever the number of prefixes."""
+    A prefix ends at a path element, so the path up to each "/" and the whole path are the keys of
+    an equi join, whatever the number of prefixes."""
     prefixes = ctx.select("*", F.explode("prefixes").alias("prefix"))
-    keyed = packages.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("packagePath")), lambda n: F.left(F.col("packagePath"), n))))
-    hit = keyed.join(prefixes, "prefix")
-    # a prefix ends at a path element
-    rest = F.substring(F.col("packagePath"), F.length("prefix") + 1, 1)
-    hit = hit.where((F.col("packagePath") == F.col("prefix")) | (rest == "/"))
+    upto = F.transform(F.sequence(F.lit(1), F.size(F.split("packagePath", "/"))), lambda n: F.call_function("substring_index", F.col("packagePath"), F.lit("/"), n))
+    hit = packages.withColumn("prefix", F.explode(upto)).join(prefixes, "prefix")
     best = Window.partitionBy("id").orderBy(F.length("prefix").desc(), "pos")
     return hit.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "prefix", "prefixes", "pos")
 

@@ -4,33 +4,98 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import model as M
 from ..functions.scalars import line_range
+from ..plans.tables import keep
+
+
+def _holding(nodes: DataFrame, fields: tuple[str, ...], text: str) -> DataFrame:
+    """Nodes whose fields, joined, hold ``text``, case aside."""
+    text = text.strip().lower()
+    whole = F.lower(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in fields)))
+    return nodes.where(F.contains(whole, F.lit(text))) if text else nodes
 
 
 def search(nodes: DataFrame, text: str = "", kind: str = "") -> DataFrame:
     """Nodes whose id, name, paths, reason or file hold ``text``, case aside; at most of one kind."""
-    fields = ("id", "name", "packagePath", "modulePath", "reason", "sourceFile")
-    whole = F.lower(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in fields)))
-    found = nodes.where(F.contains(whole, F.lit(text.lower()))) if text else nodes
+    found = _holding(nodes, ("id", "name", "packagePath", "modulePath", "reason", "sourceFile"), text)
     return found.where(F.col("kind") == kind) if kind else found
 
 
 def code_scope(nodes: DataFrame, package: str = "", text: str = "") -> DataFrame:
-    found = search(nodes.where(F.col("kind").isin("function", "method", "unresolved_call") & (F.col("sourceFile") != "")), text)
+    """Functions, methods and open calls with a source, of one package at most, as the source list shows them."""
+    found = nodes.where(F.col("kind").isin("function", "method", "unresolved_call") & (F.col("sourceFile") != ""))
+    found = _holding(found, ("id", "name", "packagePath", "sourceFile"), text)
     return found.where(F.col("packagePath") == package) if package else found
 
 
+def in_source_order(nodes: DataFrame) -> DataFrame:
+    """Nodes by file, range and id as one string."""
+    return nodes.orderBy(F.concat("sourceFile", "lineRange", "id"))
+
+
+def listed(nodes: DataFrame, limit: int = 120) -> DataFrame:
+    """The first nodes by id, which is all that the list shows."""
+    return nodes.orderBy("id").limit(limit)
+
+
+def with_status(facts: DataFrame, status: str = "") -> DataFrame:
+    """Policy results or metrics of one status, or all of them."""
+    return facts.where(F.col("status") == status) if status else facts
+
+
+def selection(results: DataFrame) -> DataFrame:
+    """(id, selected): the fact that is selected with a policy result: its first evidence, else itself."""
+    return results.select("id", F.when(F.size("evidence") > 0, F.element_at("evidence", 1)).otherwise(F.col("id")).alias("selected"))
+
+
+def touched(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """(selected, edgeId): edges at a selected node, the selected fact itself left out."""
+    return incident(edges, selected.select(F.col("selected").alias("id")).distinct()).where("id <> edgeId").select(F.col("id").alias("selected"), "edgeId")
+
+
+def choices(nodes: DataFrame) -> DataFrame:
+    """(control, value): what the lists of kinds and packages offer."""
+    one = lambda c: nodes.where(F.col(c) != "").select(F.lit(c).alias("control"), F.col(c).alias("value"))
+    return one("kind").union(one("packagePath")).distinct()
+
+
+def fact_index(facts: dict[str, DataFrame]) -> DataFrame:
+    """(id, section, kind) of nodes, edges, policy results and metrics; a later section wins."""
+    order = ("nodes", "edges", "policyResults", "metrics")
+    rows = reduce(DataFrame.union, [facts[s].select("id", F.lit(i).alias("at"), F.lit(s).alias("section"), "kind") for i, s in enumerate(order) if facts.get(s) is not None])
+    return rows.groupBy("id").agg(F.max_by(F.struct("section", "kind"), "at").alias("last")).select("id", "last.section", "last.kind")
+
+
+def by_kind(facts: DataFrame, column: str = "kind") -> DataFrame:
+    """(kind, n)."""
+    return facts.groupBy(F.col(column).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked(df: DataFrame, by: str, order: str) -> DataFrame:
+    """``df`` with ``rank``, from 0, in the order of ``order`` among rows of equal ``by``.
+
+    Rows are sorted over ranges, so a key with most of the rows is not ranked in one task: ranks
+    within a range are added to the counts of the ranges before it."""
+    cut = keep(df.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)) - 1
+    both = cut.withColumn("_inside", inside).join(sizes, [by, "_range"])
+    return both.withColumn("rank", F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
 def layout(nodes: DataFrame, width: int = 260, height: int = 58) -> DataFrame:
     """id, kind, x, y: a column for each kind, a row for each node in it."""
-    kinds = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.withColumn("col", F.row_number().over(Window.orderBy("kind")) - 1).drop("n")
-    row = F.row_number().over(Window.partitionBy("kind").orderBy("id")) - 1
-    return nodes.select("id", "kind", row.alias("row")).join(F.broadcast(kinds.limit(len(M.NODE_KINDS) + 64)), "kind").select("id", "kind", (F.lit(20) + F.col("col") * width).alias("x"), (F.lit(28) + F.col("row") * height).alias("y"))
+    kinds = nodes.select("kind").distinct()
+    kinds = kinds.withColumn("col", F.row_number().over(Window.orderBy("kind")) - 1)
+    rows = ranked(nodes.select("id", "kind"), "kind", "id")
+    return rows.join(kinds, "kind").select("id", "kind", (F.lit(20) + F.col("col") * width).alias("x"), (F.lit(28) + F.col("rank") * height).alias("y"))
 
 
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -88,19 +153,27 @@ def tiles(facts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-FEED = {
-    "queries": ("query", "status", "id"), "pathJobs": ("startNode", "status", "id"), "policyResults": ("ruleId", "reason", "id"), "metrics": ("name", "reason", "id"),
-    "freshness": ("status", "reason", "factId"), "diagnostics": ("source", "reason", None), "runs": ("stage", "status", "runId"),
-}
+def _said(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
 def feed(facts: dict[str, DataFrame]) -> DataFrame:
-    """(part, title, text, id) of seven sections one after the other."""
-    parts = []
-    for i, (section, (title, text, own)) in enumerate(FEED.items()):
-        if section in facts:
-            ident = F.col(own) if own else F.concat_ws(":", "source", "reason")
-            parts.append(facts[section].select(F.lit(i).alias("part"), F.col(title).alias("title"), F.col(text).alias("text"), ident.alias("id")))
+    """(part, title, text, id) of seven sections one after the other; id is "" where nothing is selected."""
+    c, none = F.col, F.lit("")
+    rows = {
+        "queries": (_said("Query: ", c("status")), _said(c("query"), " / ", c("reason")), none),
+        "pathJobs": (_said("Path: ", c("status")), c("blockingReason"), none),
+        "policyResults": (_said("Policy: ", c("status")), _said(c("ruleId"), " / ", c("subject")), c("id")),
+        "metrics": (_said("Metric: ", c("status")), _said(c("name"), " = ", c("value").cast("string"), " ", c("unit"), " / ", c("subject")), c("id")),
+        "freshness": (_said("Freshness: ", c("status")), c("sourceFile"), none),
+        "diagnostics": (_said("Diagnostic: ", c("level")), c("reason"), none),
+        "runs": (_said("Run: ", c("stage"), " / ", c("status")), _said(c("emittedFacts").cast("string"), " emitted facts"), none),
+    }
+    parts = [
+        M.conform(facts[s], s).select(F.lit(i).alias("part"), title.alias("title"), text.alias("text"), ident.alias("id"))
+        for i, (s, (title, text, ident)) in enumerate(rows.items())
+        if facts.get(s) is not None
+    ]
     return reduce(DataFrame.union, parts)
 
 

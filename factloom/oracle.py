@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .oracle_plans import PLANS
+
 RANK = lambda c: f"(CASE {c} WHEN 'syntax_observed' THEN 1 WHEN 'package_loaded' THEN 2 WHEN 'type_resolved' THEN 3 ELSE 0 END)"
 TRUST = lambda r: f"(CASE {r} WHEN 1 THEN 'syntax_observed' WHEN 2 THEN 'package_loaded' WHEN 3 THEN 'type_resolved' ELSE '' END)"
 INCOMPLETE = "(NOT complete OR synthetic OR starts_with(\"to\", 'placeholder:'))"
@@ -250,7 +252,6 @@ SQL: dict[str, str] = {
     "classify_diagnostics": "SELECT source, reason, status, level FROM diagnostics",
     "source_hashes": "SELECT doc_id, sha256(coalesce(text, '')) AS \"full\", substr(sha256(coalesce(text, '')), 1, 16) AS short FROM documents",
     "freshness_ledger": "SELECT user_id::VARCHAR AS factId, old AS oldHash, event_type AS newHash, CASE WHEN old = '' THEN 'fresh' ELSE 'superseded' END AS status, event_id AS seq FROM (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS old FROM events) WHERE old <> event_type",
-    "simulated_change": "SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS oldHash, substr(sha256(coalesce(text, '') || chr(10) || '// simulated unsaved edit' || chr(10)), 1, 16) AS newHash, 'superseded' AS status FROM documents",
     "parse_line_range": "SELECT id, split_part(split_part(lineRange, '-', 1), ':', 1)::BIGINT AS startLine, split_part(split_part(lineRange, '-', 2), ':', 1)::BIGINT AS endLine FROM nodes WHERE lineRange <> ''",
     "source_block": "SELECT sourceFile, string_agg(lpad(i::VARCHAR, 4, ' ') || '  ' || line, chr(10) ORDER BY i) AS block FROM (SELECT doc_id::VARCHAR AS sourceFile, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id = 7) WHERE i BETWEEN 2 AND 5 GROUP BY 1",
     "property_sections": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
@@ -292,10 +293,8 @@ SQL: dict[str, str] = {
     "viewer_evidence": "SELECT r.id, edgeId AS ref, e.kind FROM results r JOIN edges e ON e.id = edgeId",
     "viewer_incident_edges": "SELECT DISTINCT n.id, e.id AS edgeId FROM nodes n JOIN edges e ON n.id = e.\"from\" OR n.id = e.\"to\" WHERE n.kind IN ('package', 'module')",
     "viewer_visible_edges": "SELECT id, kind FROM edges WHERE \"from\" IN (SELECT id FROM nodes WHERE kind IN ('package', 'file')) AND \"to\" IN (SELECT id FROM nodes WHERE kind IN ('package', 'file'))",
-    "viewer_neighbours": f"SELECT id FROM nodes WHERE id = 'package:{_P}' UNION SELECT \"to\" FROM edges WHERE \"from\" = 'package:{_P}' AND EXISTS (SELECT 1 FROM nodes WHERE id = 'package:{_P}') UNION SELECT \"from\" FROM edges WHERE \"to\" = 'package:{_P}' AND EXISTS (SELECT 1 FROM nodes WHERE id = 'package:{_P}')",
     "viewer_summary": """SELECT 'nodes' AS tile, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'queries', (SELECT count(*) FROM pqueries) + (SELECT count(*) FROM cqueries) UNION ALL SELECT 'policyResults', count(*) FROM results UNION ALL SELECT 'metrics', 3 * count(*) FROM cyclo
       UNION ALL SELECT 'diagnostics', count(*) FROM diagnostics UNION ALL SELECT 'placeholders', count(*) FROM nodes WHERE synthetic UNION ALL SELECT 'incompleteEdges', count(*) FROM edges WHERE NOT complete UNION ALL SELECT 'metricWarnings', count(*) FROM cyclo WHERE status = 'warning'""",
-    "viewer_feed": "SELECT 2::BIGINT AS part, ruleId AS title, reason AS text, id FROM results UNION ALL SELECT 5, source, reason, source || ':' || reason FROM diagnostics",
     "viewer_related": "SELECT id FROM edges ORDER BY id LIMIT 8",
 }
 
@@ -307,4 +306,12 @@ def full(body: str) -> str:
     return f"WITH {FACTS.rstrip()} {body}"
 
 
+def _placed(part: str, query: str, key: str, order: str) -> str:
+    return f"SELECT '{part}' AS part, {key} AS key, row_number() OVER (ORDER BY {order}) AS place FROM ({full(SQL[query])})"
+
+
+SQL |= PLANS
 ORACLES = {name: full(body) for name, body in SQL.items()}
+ORACLES["stats_order"] = " UNION ALL ".join((
+    _placed("modules", "stats_modules", "modulePath", "modulePath"), _placed("packages", "stats_packages", "packagePath", "modulePath, packagePath"), _placed("files", "stats_files", "sourceFile", "modulePath, packagePath, sourceFile"),
+))

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from . import example
 from . import model as M
 from .functions import scalars as S
 from .operators import complexity, graph, language, policy, projections, reports, viewer, vocabulary
+from .plans import analyzers, engine
+from .plans.tables import folder, keep
+from .sources import config, loads, workspace
 from .sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,15 +47,26 @@ COUNTING = {"cyclomatic": {"warningThreshold": 24, "countSelectDefaultClauses":
 HASH = "config"
 
 
+#: Facts that were written once, by session and folder; every later query reads the tables.
+WRITTEN: dict[tuple[str, str], dict[str, DataFrame | dict[str, DataFrame]]] = {}
+
+
 class Facts(dict):
-    """Base facts of the tables, derived ones made when asked for."""
+    """Base facts of the tables, derived ones made when first asked for.
+
+    A section is written as a table once in a session and folder, so a query that uses it in many
+    branches, or a later query, reads it instead of deriving it from the star schema again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         super().__init__()
         self.t, self.spark = Tables(spark, sf_dir), spark
+        self.written = WRITTEN.setdefault((spark.sparkContext.applicationId, sf_dir), {})
 
     def __missing__(self, section: str) -> DataFrame:
-        self[section] = out = getattr(self, section)()
+        if section not in self.written:
+            made = getattr(self, section)()
+            self.written[section] = {k: keep(d) for k, d in made.items()} if isinstance(made, dict) else keep(made)
+        self[section] = out = self.written[section]
         return out
 
     def nodes(self) -> DataFrame:
@@ -78,9 +100,12 @@ class Facts(dict):
             out = out.unionByName(p)
         return out
 
+    def decisions(self) -> DataFrame:
+        return self.t.decisions()
+
     def measured(self) -> dict[str, DataFrame]:
         parsed = self["nodes"].where("kind = 'file' and not sourceFile like '%supplier_7.go'").select("sourceFile")
-        return complexity.metrics(self["nodes"], self.t.decisions(), parsed, complexity.Counting.of(COUNTING), HASH)
+        return complexity.metrics(self["nodes"], self["decisions"], parsed, complexity.Counting.of(COUNTING), HASH)
 
     def metrics(self) -> DataFrame:
         return self["measured"]["metrics"]
@@ -364,8 +389,8 @@ def freshness_ledger(f: Facts) -> DataFrame:
 
 @query
 def simulated_change(f: Facts) -> DataFrame:
-    d = f.t.read("documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("c"))
-    return d.select("doc_id", S.short_hash(F.col("c")).alias("oldHash"), S.short_hash(F.concat("c", F.lit("\n// simulated unsaved edit\n").cast("binary"))).alias("newHash"), F.lit("superseded").alias("status"))
+    files = f.t.read("documents").select(F.col("doc_id").cast("string").alias("sourceFile"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return engine.simulated_change(files).select("factId", "sourceFile", "oldHash", "newHash", "status", "reason")
 
 
 @query
@@ -503,9 +528,7 @@ def graph_filter_observations(f: Facts) -> DataFrame:
 
 @query
 def value_catalogue(f: Facts) -> DataFrame:
-    from .plans.analyzers import known_ids
-
-    return reports.catalogue(f.spark, known_ids())
+    return reports.catalogue(f.spark, analyzers.known_ids())
 
 
 # ---- viewer -------------------------------------------------------------------------------
@@ -559,7 +582,7 @@ def viewer_visible_edges(f: Facts) -> DataFrame:
 
 @query
 def viewer_neighbours(f: Facts) -> DataFrame:
-    return viewer.neighbours(f["edges"], f["nodes"].where("id = 'package:ASIA/NATION_2'"))
+    return viewer.neighbours(f["edges"], f["nodes"].where("kind = 'module'"))
 
 
 @query
@@ -570,10 +593,261 @@ def viewer_summary(f: Facts) -> DataFrame:
 
 @query
 def viewer_feed(f: Facts) -> DataFrame:
-    out = viewer.feed({"policyResults": f["policyResults"], "diagnostics": f["diagnostics"]})
-    return flat(out)
+    facts = {s: f[s] for s in ("queries", "policyResults", "metrics", "diagnostics")}
+    ran = [("policy_evaluation", "completed", 7), ("rendering", "partial", 0)]
+    facts["runs"] = f.spark.createDataFrame(ran, "stage string, status string, emittedFacts long")
+    facts["pathJobs"] = f.spark.createDataFrame([("blocked", "no way")], "status string, blockingReason string")
+    facts["freshness"] = f.t.read("part").select(F.col("p_name").alias("sourceFile"), F.when(F.col("p_size") > 25, "stale").otherwise("fresh").alias("status"))
+    return flat(viewer.feed(facts))
 
 
 @query
 def viewer_related(f: Facts) -> DataFrame:
     return viewer.related(f["edges"].where("kind = 'imports'").select("id").union(f["edges"].select("id")))
+
+
+@query
+def viewer_list(f: Facts) -> DataFrame:
+    return viewer.listed(f["nodes"]).select("id")
+
+
+@query
+def viewer_source_order(f: Facts) -> DataFrame:
+    """Places in the order of the source list."""
+    found = viewer.in_source_order(viewer.code_scope(f["nodes"], "", " Brass "))
+    return _placed(found.select("id"), "id")
+
+
+@query
+def viewer_metric_filter(f: Facts) -> DataFrame:
+    return viewer.with_status(f["metrics"], "warning").select("id", "status")
+
+
+@query
+def viewer_selection(f: Facts) -> DataFrame:
+    return viewer.selection(f["policyResults"])
+
+
+@query
+def viewer_touched(f: Facts) -> DataFrame:
+    return viewer.touched(f["edges"], viewer.selection(f["nodes"].where("kind = 'package'").select("id", F.array("id").alias("evidence"))))
+
+
+@query
+def viewer_choices(f: Facts) -> DataFrame:
+    return viewer.choices(f["nodes"])
+
+
+@query
+def viewer_index(f: Facts) -> DataFrame:
+    return viewer.fact_index({s: f[s] for s in ("nodes", "edges", "policyResults", "metrics")})
+
+
+@query
+def viewer_kind_counts(f: Facts) -> DataFrame:
+    return viewer.by_kind(f["nodes"])
+
+
+@query
+def viewer_labels(f: Facts) -> DataFrame:
+    d = f.t.read("documents")
+    return d.select("doc_id", S.middle_cut("text", 24).alias("short"), F.md5(S.escape_html("text").cast("binary")).alias("escaped"))
+
+
+# ---- plans and sinks ----------------------------------------------------------------------
+
+
+def _placed(ordered: DataFrame, *names: str) -> DataFrame:
+    """Rows with their place (from 1) in the order that ``ordered`` has."""
+    rows = ordered.withColumn("at", F.monotonically_increasing_id())
+    return rows.select(*names, F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+
+
+@query
+def sorted_nodes(f: Facts) -> DataFrame:
+    return _placed(engine.in_order({"nodes": f["nodes"]})["nodes"].select("id"), "id")
+
+
+@query
+def sorted_diagnostics(f: Facts) -> DataFrame:
+    ordered = engine.in_order({"diagnostics": f["diagnostics"]})["diagnostics"]
+    return _placed(ordered.select("source", "reason"), "source", "reason")
+
+
+@query
+def analyzer_order(f: Facts) -> DataFrame:
+    result = analyzers.in_order({"diagnostics": f["judged"]["diagnostics"], "policyResults": f["policyResults"]})
+    first = _placed(result["diagnostics"].select(F.concat_ws(":", "source", "reason").alias("fact")), "fact")
+    return first.withColumn("part", F.lit("diagnostics")).unionByName(_placed(result["policyResults"].select(F.col("id").alias("fact")), "fact").withColumn("part", F.lit("policyResults")))
+
+
+@query
+def stats_order(f: Facts) -> DataFrame:
+    lists = reports.stats(f)
+    part = lambda s, k: _placed(lists[s].select(F.col(k).alias("key")), "key").withColumn("part", F.lit(s))
+    return part("modules", "modulePath").unionByName(part("packages", "packagePath")).unionByName(part("files", "sourceFile"))
+
+
+@query
+def written_graph(f: Facts) -> DataFrame:
+    """What the JSON sink wrote, read again: empty values are left out."""
+    text = F.to_json(F.struct("id", "kind", F.nullif("reason", F.lit("")).alias("reason"), F.nullif("lineRange", F.lit("")).alias("lineRange")))
+    return f["nodes"].select("id", text.alias("json"))
+
+
+@query
+def graph_summary(f: Facts) -> DataFrame:
+    facts = {s: f[s] for s in ("nodes", "edges", "sourceRecords", "queries")} | {"pathJobs": M.empty(f.spark, "pathJobs"), "freshness": M.empty(f.spark, "freshness")}
+    return engine.summarise(facts)
+
+
+@query
+def analyzer_plans(f: Facts) -> DataFrame:
+    cases = [("all", [], []), ("closure", ["bridge_symbol"], []), ("cascade", [], ["vocabulary_cooccurrence"]), ("both", ["language_zone_candidate", " complexity "], ["vocabulary_extraction"]), ("unknown", ["nonsense"], []), ("none", ["complexity"], ["complexity"])]
+    rows = []
+    for name, include, skip in cases:
+        try:
+            rows += [(name, i, a.id) for i, a in enumerate(analyzers.plan(include, skip), 1)]
+        except ValueError as e:
+            rows.append((name, 0, str(e)))
+    return f.spark.createDataFrame(rows, "name string, place long, id string")
+
+
+@query
+def analyzer_contracts(f: Facts) -> DataFrame:
+    """Inputs, emitted kinds, needs and limits of every analyzer, in order."""
+    rows = [(i, a.id, a.stage, "|".join(a.inputs), "|".join(a.emits), "|".join(a.needs), a.least_trust, a.most_trust, a.on_incomplete, len(analyzers.check_contract(a))) for i, a in enumerate(analyzers.ANALYZERS)]
+    return f.spark.createDataFrame(rows, "place long, id string, stage string, inputs string, emits string, needs string, leastTrust string, mostTrust string, onIncomplete string, findings long")
+
+
+@query
+def contract_findings(f: Facts) -> DataFrame:
+    good = analyzers.ANALYZERS[0]
+    wrong = {
+        "bare": {"id": "", "version": "", "stage": "", "inputs": (), "emits": ()}, "stage": {"stage": "guessing"}, "emits": {"emits": ("label", "rumour")}, "trust": {"least_trust": "type_resolved", "most_trust": "package_loaded"},
+        "trust_name": {"least_trust": "hope", "most_trust": ""}, "modes": {"failure": "panic", "on_incomplete": "guess"}, "good": {},
+    }
+    rows = [(name, b) for name, given in wrong.items() for b in analyzers.check_contract(replace(good, **given))]
+    return f.spark.createDataFrame(rows, "name string, finding string")
+
+
+@query
+def result_findings(f: Facts) -> DataFrame:
+    """What the checks say of a result made of policy warnings, some of them spoilt."""
+    a = replace(analyzers.ANALYZERS[0], emits=("warning",), most_trust="package_loaded")
+    key = F.length("id") % 4
+    w = f["warnings"].withColumn("_k", key)
+    w = w.withColumn("trustLevel", F.when(F.col("_k") == 0, "type_resolved").when(F.col("_k") == 1, "").otherwise(F.col("trustLevel")))
+    w = w.withColumn("kind", F.when(F.col("_k") == 2, "").otherwise(F.col("kind"))).withColumn("affectedEdgeId", F.when(F.col("_k") == 3, "edge:gone").otherwise("")).withColumn("affectedNodeId", F.lit("")).withColumn("evidence", F.array().cast("array<string>")).drop("_k")
+    labels = policy.module_dependencies(f["edges"], None)["labels"]
+    return analyzers.check_result(a, f["edges"].select("id").union(f["nodes"].select("id")), {"warnings": M.conform(w, "warnings"), "labels": M.conform(labels, "labels")})
+
+
+@query
+def unready_facts(f: Facts) -> DataFrame:
+    a = replace(analyzers.ANALYZERS[0], inputs=("package", "placeholder", "imports", "depends_on"), on_incomplete="require_complete")
+    return analyzers.unready(a, f)
+
+
+@query
+def metric_definitions(f: Facts) -> DataFrame:
+    return f.spark.createDataFrame([(d.name, d.unit, d.scope) for d in complexity.DEFINITIONS], "name string, unit string, scope string")
+
+
+@query
+def package_loads(f: Facts) -> DataFrame:
+    """Rows of a loader: those of one package are one."""
+    rows = f["edges"].where("kind = 'imports'").select(M.strip("from", "package:").alias("package"), F.when(F.col("complete"), F.array()).otherwise(F.array("to")).cast("array<string>").alias("errors"), F.when(F.col("complete"), F.array("to")).alias("imports"))
+    return flat(loads.clean(rows))
+
+
+# ---- the example workspace ----------------------------------------------------------------
+
+
+def _example(f: Facts) -> dict[str, DataFrame]:
+    """All facts of the example workspace, through every stage; made once in a session."""
+    key = (f.spark.sparkContext.applicationId, "example")
+    if key not in WRITTEN:
+        top = Path(folder(f.spark).removeprefix("file:")) / f"example-{uuid.uuid4().hex}"
+        example.lay(top)
+        WRITTEN[key] = engine.Build(f.spark, engine.Options(str(top / "night"), str(top), simulate_change=True)).run()
+    return WRITTEN[key]
+
+
+@query
+def workspace_nodes(f: Facts) -> DataFrame:
+    return _example(f)["nodes"].select("id", "kind", "trustLevel", "reason", "sourceFile", "lineRange", "packagePath", "modulePath")
+
+
+@query
+def workspace_edges(f: Facts) -> DataFrame:
+    return _example(f)["edges"].select("id", "kind", "complete", "synthetic", "reason")
+
+
+@query
+def workspace_records(f: Facts) -> DataFrame:
+    return _example(f)["sourceRecords"].select("id", "kind", "path", "sourceHash", "reason")
+
+
+@query
+def workspace_freshness(f: Facts) -> DataFrame:
+    return _example(f)["freshness"].select("factId", "oldHash", "newHash", "status", "reason")
+
+
+@query
+def workspace_diagnostics(f: Facts) -> DataFrame:
+    return _example(f)["diagnostics"].select("level", "source", "reason", "stage", "status")
+
+
+@query
+def workspace_runs(f: Facts) -> DataFrame:
+    return flat(_example(f)["runs"], "stage", "analyzerId", "status", "emittedFacts", "diagnostics")
+
+
+@query
+def workspace_metrics(f: Facts) -> DataFrame:
+    return flat(_example(f)["metrics"], "subject", "name", "value", "status")
+
+
+@query
+def workspace_policy(f: Facts) -> DataFrame:
+    return flat(_example(f)["policyResults"], "ruleId", "subject", "status", "reason")
+
+
+@query
+def workspace_queries(f: Facts) -> DataFrame:
+    return _example(f)["queries"].select("id", "status", "reason")
+
+
+@query
+def workspace_provenance(f: Facts) -> DataFrame:
+    """Who made the rows of each section: every row has a run, and the run is listed."""
+    facts, parts = _example(f), []
+    runs = facts["runs"].select(F.col("runId").alias("_run"))
+    for s in ("nodes", "edges", "observations", "metrics", "policyResults", "diagnostics", "queries"):
+        rows = facts[s].join(runs, F.col("runId") == F.col("_run"), "left_semi")
+        parts.append(rows.groupBy("producerId", "producerVersion").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("section"), "producerId", "producerVersion", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def manifest_directives(f: Facts) -> DataFrame:
+    """Directives of one go.mod per supplier, with blocks, comments and quotes, read back."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, name, n in batch.itertuples(index=False):
+                m = workspace.manifest(f'module "{name}" // {n}\nrequire (\n\ta.test/n{n} v1 // indirect\n\n\tb.test/x v2\n)\nrequire c.test/y v3\nreplace a.test/n{n} => ../n{n}\n')
+                out.append((key, m.module, "|".join(m.require), "|".join(m.replace), workspace.is_local(m.replace[0])))
+            yield pd.DataFrame(out, columns=["s_suppkey", "module", "requires", "replaces", "isLocal"])
+
+    return f.t.read("supplier").select("s_suppkey", "s_name", "s_nationkey").mapInPandas(run, "s_suppkey long, module string, requires string, replaces string, isLocal boolean")
+
+
+@query
+def config_sections(f: Facts) -> DataFrame:
+    """Sections of a configuration as raw bytes, their hashes and the settings they hold."""
+    raw = config.sections('{ "complexity": {"cyclomatic": {"warningThreshold": 7}},\n "moduleDependencyEnrichment" : {"networkAccess":"enabled"} , "ubiquitousLanguage": {}}')
+    rows = [(k, v.decode(), config.hash_of(v), json.dumps(analyzers.config_of(v), separators=(",", ":"))) for k, v in raw.items()]
+    rows.append(("absent", "", config.hash_of(None), json.dumps(analyzers.config_of(None))))
+    return f.spark.createDataFrame(rows, "section string, raw string, hash string, settings string")

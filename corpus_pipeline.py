@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each on all that the stage before kept."""
+"""A training corpus from raw documents: five stages, each on all that the stage before kept.
+
+Defined cases, for ``run`` and every stage: an empty table gives an empty one; null text counts as
+empty, is kept by every filter unless its class has a smaller id, and has no tokens; rows with null
+ids are documents like others, after all ids; of rows that are equal in id and text one passes
+near-dedup; a text of any length is taken whole; columns beside those of documents pass through all
+stages but the last, whatever their names, which gives doc_id, lang, source, n_tokens and token_ids.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +17,9 @@ from factloom.llm.queries import MODEL, in_training
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the scorer rejects go."""
+    """Documents that the scorer rejects go; it learns from the training rows of labels."""
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), in_training())
-    return toxicity.score(docs, scorer).where("toxic = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, scorer)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Smaller sources are repeated, up to half as often again; every document stays."""
-    return mixing.realise(docs, max_repetition=1.5).select(*docs.columns)
+    return mixing.repeat(docs, max_repetition=1.5)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

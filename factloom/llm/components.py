@@ -33,16 +33,26 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(context: SparkContext, wait: bool = False) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
-
-    The bridge between Python and the JVM and the listeners of finished jobs let go a little
-    later: what one call leaves the next one frees, or, with ``wait``, this one after a pause."""
-    gc.collect()
-    context._jvm.System.gc()
-    if wait:
-        time.sleep(1.5)
-        context._jvm.System.gc()
+#: Rows of an Arrow batch at most: a row holds a whole document, and the JVM keeps two batches of a
+#: task, and Python as many, besides what is made of them.
+BATCH = 1000
+
+
+def in_batches(documents: DataFrame) -> DataFrame:
+    """``documents``, whose session from now on hands rows to Python in batches of at most BATCH."""
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(conf.get(name))
+    if given <= 0 or given > BATCH:
+        conf.set(name, str(BATCH))
+    return documents
+
+
+def one_per_id(documents: DataFrame, most: int, seed: int) -> DataFrame:
+    """(text) of the ids of the ``most`` rows of least hashed id; of an id in several rows the text
+    of least hash. Only the ids, bounded by ``most``, are broadcast."""
+    ids = in_batches(documents).where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).distinct()
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"))).alias("row")).select("row.text")
 
 
 _local: list[str] = []

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import in_batches, one_per_id
 from .textops import U64, chunks, flat, lower_ascii, prefix_hash, span_hash, word_spans
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -147,7 +148,7 @@ def _unpack(code: np.ndarray) -> np.ndarray:
 
 def label_model(documents: DataFrame) -> Accuracies:
     """Accuracies from the votes on all documents."""
-    counted = documents.select("text").mapInArrow(_patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    counted = in_batches(documents).select("text").mapInArrow(_patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
     if not counted.num_rows:
         return estimate(np.zeros((1, N_LABELLERS), np.int64), np.ones(1))
     return estimate(_unpack(counted["code"].to_numpy()), counted["n"].to_numpy())
@@ -184,10 +185,9 @@ class Scorer:
 
 
 def fit(documents: DataFrame, model: Accuracies, max_documents: int = 3000, steps: int = 250) -> Scorer:
-    """Logistic regression on the posteriors of the ``max_documents`` documents of least hashed id."""
-    ids = documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(max_documents).distinct()
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
-    got = sample.mapInArrow(_examples, "code long, x binary").toArrow()
+    """Logistic regression on the posteriors of the ``max_documents`` documents of least hashed id;
+    of an id that stands in several rows the text of least hash counts."""
+    got = one_per_id(documents, max_documents, 31).mapInArrow(_examples, "code long, x binary").toArrow()
     if not got.num_rows:
         return Scorer(np.zeros(WORDS + SHAPES), 0.0)
     pairs = sorted(zip(got["code"].to_pylist(), got["x"].to_pylist(), strict=True))
@@ -227,4 +227,4 @@ def classify(documents: DataFrame, model: Accuracies, scorer: Scorer) -> DataFra
             yield pa.record_batch([*(batch[c] for c in carried), *columns], [*carried, *RESULT])
 
     schema = T.StructType([*documents.select(*carried).schema.fields, *(T.StructField(k, t) for k, t in RESULT.items())])
-    return documents.select(*carried, "text").mapInArrow(run, schema)
+    return in_batches(documents).select(*carried, "text").mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import in_batches, one_per_id
 from .textops import U64, chunks, flat, lower_ascii, prefix_hash, span_hash, word_spans
 
 # The patterns of the contract, in listed order, and the least length of each.
@@ -258,8 +259,12 @@ def _base_of(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[Span]]:
     return {int(d): s for d in _candidates(data, offsets) if (s := base_spans(raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace")))}
 
 
+#: Training windows around findings of one document, at most: evenly spread over them.
+WINDOWS = 64
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows: 12 words around each finding, and one window elsewhere in each text."""
+    """Training windows: 12 words around findings, and one window elsewhere in each text."""
     for batch in batches:
         data, offsets = flat(batch["text"])
         rows: dict[str, list[bytes]] = {"features": [], "tags": []}
@@ -267,7 +272,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             words = describe(part, at)
             tags = _tag(words, _places(part), at, _base_of(part, at))
-            centre = np.flatnonzero(tags == BEGIN).tolist()
+            begins = np.flatnonzero(tags == BEGIN)
+            centre: list[int] = []
+            for own in np.split(begins, np.flatnonzero(np.diff(words.doc[begins])) + 1):
+                centre += own[np.linspace(0, len(own) - 1, min(len(own), WINDOWS)).astype(np.int64)].tolist()
             some, bound = np.flatnonzero(np.diff(words.doc, prepend=-1)), len(tags)
             size = np.diff(np.append(some, bound))
             centre += (some + (words.features[some, 3] * 7919) % np.maximum(size, 1)).tolist()
@@ -280,10 +288,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, max_documents: int = 6000) -> Field:
-    """Train on windows of the ``max_documents`` documents of least hashed id."""
-    ids = documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(max_documents).distinct()
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
-    got = sample.mapInArrow(_windows, "features binary, tags binary").toArrow()
+    """Train on windows of the ``max_documents`` documents of least hashed id, at most WINDOWS and one
+    of a document; of an id that stands in several rows the text of least hash counts."""
+    got = one_per_id(documents, max_documents, 29).mapInArrow(_windows, "features binary, tags binary").distinct().toArrow()
     rows = sorted(set(zip(got["features"].to_pylist(), got["tags"].to_pylist(), strict=True)))
     if not rows:
         return Field.blank()
@@ -296,7 +303,7 @@ def find(column: pa.Array, field: Field) -> list[list[Span]]:
     """Spans of every text of the column, patterns' and field's."""
     data, offsets = flat(column)
     out: list[list[Span]] = []
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, 1 << 20):  # a sweep over lines costs by its longest one
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         found = _base_of(part, at)
         words = describe(part, at)
@@ -331,7 +338,7 @@ def scan(documents: DataFrame, field: Field) -> DataFrame:
             yield pa.record_batch([*(batch[c] for c in carried), pa.array(rows, _SPANS_ARROW)], [*carried, "spans"])
 
     schema = T.StructType([*documents.select(*carried).schema.fields, T.StructField("spans", SPANS)])
-    return documents.select(*carried, "text").mapInArrow(run, schema)
+    return in_batches(documents).select(*carried, "text").mapInArrow(run, schema)
 
 
 def redact(documents: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFrame:
@@ -363,7 +370,7 @@ def redact(documents: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFr
                     columns.append(batch[f.name])
             yield pa.record_batch(columns, batch.schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return in_batches(documents).mapInArrow(run, schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .components import in_batches
 from .textops import chunks, flat
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a Python worker remembers (some 250 and 100 bytes each);
 #: words longer than LONG are not kept.
-STORE, PAIRS, LONG = 200_000, 400_000, 48
+STORE, PAIRS, LONG = 100_000, 400_000, 48
 #: Bytes of text that are cut into words at a time; a longer text is alone.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 
 class Recent(dict):
@@ -219,6 +220,22 @@ def load(model_path: str) -> Pieces:
     return Pieces(pieces, scores, {int(pieces[i][3:5], 16): i for i in range(n) if m.is_byte(i)}, special, m.unk_id(), bpe)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, some SLICE bytes of text at a time: the more words meet, the more they share."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        _, offsets = flat(whole["text"])
+        for lo, hi in chunks(offsets, SLICE):
+            held.append(whole.slice(lo, hi - lo))
+            size += int(offsets[hi] - offsets[lo])
+            if size >= SLICE // 2:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 RESULT = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip")
 
 
@@ -231,23 +248,20 @@ def encode(documents: DataFrame, pieces: Pieces, digests: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = shared.value
-        for whole in batches:
-            _, offsets = flat(whole["text"])
-            for lo, hi in chunks(offsets, SLICE):
-                batch = whole.slice(lo, hi - lo)
-                texts = batch["text"].to_pylist()
-                ids, at = search.encode(texts)
-                found = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))]
-                if digests:
-                    parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-                    back = [search.decode(x) for x in parts]
-                    sha = lambda x: hashlib.sha256(x).hexdigest()
-                    found += [pa.array([sha(x.astype("<i4").tobytes()) for x in parts]), pa.array(list(map(sha, back))), pa.array([x == (t or "").encode() for x, t in zip(back, texts, strict=True)])]
-                yield pa.record_batch([*(batch[c] for c in carried), *found], [*carried, *names])
+        for batch in _slices(batches):
+            texts = batch["text"].to_pylist()
+            ids, at = search.encode(texts)
+            found = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))]
+            if digests:
+                parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+                back = [search.decode(x) for x in parts]
+                sha = lambda x: hashlib.sha256(x).hexdigest()
+                found += [pa.array([sha(x.astype("<i4").tobytes()) for x in parts]), pa.array(list(map(sha, back))), pa.array([x == (t or "").encode() for x, t in zip(back, texts, strict=True)])]
+            yield pa.record_batch([*(batch[c] for c in carried), *found], [*carried, *names])
 
     kinds = dict(zip(RESULT, (T.LongType(), T.ArrayType(T.IntegerType()), T.StringType(), T.StringType(), T.BooleanType()), strict=True))
     schema = T.StructType([*documents.select(*carried).schema.fields, *(T.StructField(c, kinds[c]) for c in names)])
-    return documents.select(*carried, "text").mapInArrow(run, schema)
+    return in_batches(documents).select(*carried, "text").mapInArrow(run, schema)
 
 
 def decode(documents: DataFrame, pieces: Pieces, ids: str = "token_ids") -> DataFrame:
@@ -263,4 +277,4 @@ def decode(documents: DataFrame, pieces: Pieces, ids: str = "token_ids") -> Data
             yield pa.record_batch([*(batch[c] for c in carried), pa.array(texts, pa.string())], [*carried, "text"])
 
     schema = T.StructType([*documents.select(*carried).schema.fields, T.StructField("text", T.StringType())])
-    return documents.select(*carried).mapInArrow(run, schema)
+    return in_batches(documents).select(*carried).mapInArrow(run, schema)

@@ -264,6 +264,42 @@ def test_prefilter_looks_at_every_text():
         assert secrets.find(secrets.pa.array(column), secrets.Field.blank()) == [secrets.base_spans(t) for t in column]
 
 
+# the three patterns once more, apart from the module's own
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def plain_spans(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(1)) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def test_spans_do_not_depend_on_neighbouring_rows(spark):
+    digest, key = "0123456789abcdef" * 2, "AKIA" + "B7" * 9
+    texts = [f"x {digest}", digest, digest, f"{digest} y", "AKI", key, "AK", "IA" + "C" * 20, "pass", 'word = "abcdef1"', "toke", "n: 12345678", "api", "_key=", "zzzzzzzz", "", None, "é" + digest[:23], "f", "secret ", "= abcdefg", f"Api_Key'  :  '{key}", "K\u212aey token=ſſſſſſ", "ſecret=abcdefgh"]
+    want = {i: plain_spans(t or "") for i, t in enumerate(texts)}
+    r = random.Random(3)
+    for size in (1, 2, 7, 10_000):
+        order = list(enumerate(texts))
+        for _ in range(2):
+            r.shuffle(order)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            try:
+                df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+                got = {x.doc_id: x for x in secrets.digest(secrets.scan(df, secrets.Field.blank())).collect()}
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            for i, spans in want.items():
+                assert got[i].spans == ",".join(spans) and got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+                assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+
+
+def test_spans_of_the_table_equal_plain_patterns(spark, texts):
+    for r in queries.op3_secret_scan(spark, str(SF)).collect():
+        assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == plain_spans(texts[r.doc_id] or "")
+
+
 def test_viterbi_equals_enumeration():
     r = np.random.default_rng(3)
     field = secrets.Field(r.normal(size=(secrets.BASES[-1], 3)), r.normal(size=(3, 3)))
@@ -334,6 +370,28 @@ def test_collapse_keeps_maximal_conversations(spark):
     assert {(r.conv_id, r.n_turns, r.n_same) for r in got} == {(2, 2, 2), (4, 1, 1), (None, 1, 1)}
 
 
+def test_collapse_of_odd_conversations_equals_brute_force(spark):
+    r = random.Random(6)
+    long = "very long turn " * 40_000
+    talk = [(c, t, role, text) for c in range(60) for t, (role, text) in enumerate([("user", "hello"), ("assistant", r.choice("ab")), ("user", r.choice(["", "x", None])), (None, "y")][: r.randint(1, 4)])]
+    talk += [(100, 0, "user", long), (101, 0, "user", long), (101, 1, "user", "more"), (None, 0, "user", "hello"), (None, 1, "assistant", "z"), (200, None, "user", "first"), (200, 0, "user", "hello"), (201, None, "user", "first")]
+    talk += [(300, 5, "b", "2"), (300, 5, "a", "3"), (300, 5, "a", "1"), (300, 5, "a", "1"), (7, 0, "user", "hello")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: F.lit("x") for c in ("position", "h1", "h2", "n", "said", "n_turns", "n_same", "rendered", "known")})
+    turns = {}
+    for c, t, role, text in set(talk):
+        turns.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    whole = {c: [(role, text) for *_, role, text in sorted(v)] for c, v in turns.items()}
+    want = {}
+    for c, v in whole.items():
+        if not any(len(w) > len(v) and w[: len(v)] == v for w in whole.values()):
+            want.setdefault(tuple(v), []).append(c)
+    text_of = lambda v: "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in v)
+    least = lambda ids: None if None in ids else min(ids)
+    got = chat.collapse(df.repartition(3)).collect()
+    assert sorted((x.n_turns, x.n_same, x.rendered, str(x.conv_id)) for x in got) == sorted((len(v), len(ids), text_of(v), str(least(ids))) for v, ids in want.items())
+
+
 def test_repeated_words_by_both_routes(spark, monkeypatch):
     r = random.Random(4)
     cases = [[r.choice("abc") for _ in range(n)] for n in (0, 1, 3, 4, 7, 60, 300)] + [["a"] * 9, ["a", "b"] * 8]
@@ -369,6 +427,113 @@ def test_quality_agrees_with_held_labels(spark):
     assert got.where("kept = (quality = 1)").count() >= 0.9 * got.count()
 
 
+def plain_votes(text):
+    """The labellers' measures of one text, word by word."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    words, lines = WORD.findall(text), [w for line in text.split("\n") if (w := line.strip(" \t\r\v\f"))]
+    n, raw = max(len(words), 1), text.encode()
+    letters = max(sum(c.isascii() and c.isalpha() for c in text), 1)
+    chars = sum(len(w.encode()) for w in words)
+    n_lines = max(len(lines), 1)
+    dup, common = (len(lines) - len(set(lines))) / n_lines, sum(w.encode() in quality_classifier.COMMON for w in WORD.findall(low)) / n
+    mark, upper, size, fill = sum(c in b"#*$%&|<>!@^~{}[]\\" for c in raw) / n, sum(65 <= c <= 90 for c in raw) / letters, chars / n, n / n_lines
+    variety, digit = len(set(WORD.findall(low))) / n, sum(48 <= c <= 57 for c in raw) / max(chars, 1)
+    tests = [
+        (len(words) < 15, len(words) >= 60), (mark > 0.15, mark < 0.03), (upper > 0.5, upper < 0.15), (dup > 0.3, dup == 0 and len(lines) >= 3), (size < 2.2 or size > 14, 3 < size < 11),
+        (common < 0.01, common > 0.08), (fill < 3.5, fill > 8), (variety < 0.25 and 40 < n < 2000, variety > 0.4), (digit > 0.2, digit < 0.05),
+    ]
+    return [0 if bad else 1 if good else 2 for bad, good in tests]
+
+
+def test_quality_votes_and_scores_equal_brute_force(spark, docs, texts):
+    model = quality_classifier.label_model(docs)
+    counts = Counter(tuple(plain_votes(t or "")) for t in texts.values())
+    same = quality_classifier.estimate(np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)]))
+    assert abs(same.prior - model.prior) < 1e-6 and np.abs(same.rates - model.rates).max() < 1e-6
+    scorer = quality_classifier.fit(docs, model, steps=30)
+    for r in quality_classifier.classify(docs.select("doc_id", "text"), model, scorer).collect():
+        text, v = texts[r.doc_id] or "", plain_votes(texts[r.doc_id] or "")
+        assert (r.n_good, r.n_bad) == (v.count(1), v.count(0))
+        chance = [(1 - model.prior, model.prior)[c] * np.prod([model.rates[k][c][x] for k, x in enumerate(v)]) for c in (0, 1)]
+        assert abs(r.posterior - chance[1] / sum(chance)) < 1e-9
+        z = 0.0
+        for w in WORD.findall(text):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            low = np.frombuffer("".join(c.lower() if c.isascii() else c for c in w).encode(), np.uint8)
+            word = int(quality_classifier.span_hash(quality_classifier.prefix_hash(low), np.array([0]), np.array([len(low)]))[0]) % 4096
+            has = lambda test: any(map(test, raw.tolist()))  # noqa: B023, E731
+            shape = min(len(raw), 31) * 16 + (sum(65 <= c <= 90 for c in raw) > 1) * 8 + has(lambda c: 48 <= c <= 57) * 4 + has(lambda c: c in b"#*$%&|<>!@^~{}[]\\") * 2 + has(lambda c: 97 <= c <= 122)
+            z += scorer.weights[word] + scorer.weights[4096 + shape]
+        z = z / max(len(WORD.findall(text)), 1) + scorer.bias
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-6
+
+
+def test_risk_and_slope_equal_finite_differences():
+    r = np.random.default_rng(2)
+    for zp, zu in ((r.normal(size=5), r.normal(size=7)), (r.normal(size=4) + 3, r.normal(size=6) - 6)):
+        prior = 0.3
+        loss = lambda z: np.log(1 + np.exp(-z))
+        first, second = toxicity.risks(zp, zu, prior)
+        assert abs(first - prior * np.mean([loss(z) for z in zp])) < 1e-12 and abs(second - (np.mean([loss(-z) for z in zu]) - prior * np.mean([loss(-z) for z in zp]))) < 1e-12
+        value = (lambda p, u: sum(toxicity.risks(p, u, prior))) if second >= 0 else (lambda p, u: -toxicity.risks(p, u, prior)[1])
+        gp, gu = toxicity.slope(zp, zu, prior)
+        for i, g in enumerate(gp):
+            step = np.eye(len(zp))[i] * 1e-6
+            assert abs((value(zp + step, zu) - value(zp - step, zu)) / 2e-6 - g) < 1e-6
+        for i, g in enumerate(gu):
+            step = np.eye(len(zu))[i] * 1e-6
+            assert abs((value(zp, zu + step) - value(zp, zu - step)) / 2e-6 - g) < 1e-6
+    assert toxicity.risks(np.full(4, 6.0), np.full(6, -6.0), 0.3)[1] < 0
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scorer = toxicity.fit(docs, labels, queries.in_training())
+    weight = dict(zip(scorer.keys.tolist(), scorer.weights.tolist(), strict=True))
+
+    def hashed(raw, extra=None):
+        raw = np.frombuffer(raw, np.uint8)
+        h = toxicity.span_hash(toxicity.prefix_hash(raw), np.array([0]), np.array([len(raw)]))
+        return int((h if extra is None else toxicity.mix(h + np.uint64(extra)))[0]) >> 24
+
+    # features that tell most, counted once more
+    known = {r.doc_id: r.toxic for r in labels.where(queries.in_training()).collect()}
+    kinds = {}
+    for positive, text in toxicity.sample(docs, labels, queries.in_training(), 1500, 3500).collect():
+        kinds.setdefault(positive, []).append(text or "")
+    assert len(kinds[True]) == sum(v == 1 and i in texts for i, v in known.items())
+
+    def every(text):
+        out = set()
+        for w in WORD.findall(text):
+            low = "".join(c.lower() if c.isascii() else c for c in w).encode()
+            out |= {hashed(low), *(hashed(low[:n], n) for n in toxicity.STEMS if len(low) >= n)}
+        return out
+
+    p, u = Counter(), Counter()
+    for t in kinds[True]:
+        p.update(every(t))
+    for t in kinds[False]:
+        u.update(every(t))
+    n_p, n_u = len(kinds[True]), len(kinds[False])
+
+    def gap(k):
+        a, b = p[k] / n_p, u[k] / n_u
+        return abs(a - b) / ((a + b + 2 / (n_p + n_u)) * (1 / n_p + 1 / n_u)) ** 0.5
+
+    gaps = sorted(((gap(k), k) for k in p.keys() | u.keys()), key=lambda x: (-x[0], x[1]))
+    assert set(weight) == {k for g, k in gaps[:512] if g >= 2.0}
+    for r in toxicity.score(docs.select("doc_id", "text"), scorer).collect():
+        z = scorer.bias + sum(weight.get(k, 0.0) for k in every(texts[r.doc_id] or ""))
+        assert abs(r.toxic_score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9 and r.toxic == int(r.toxic_score >= 0.5)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = queries.op10_toxicity(spark, str(SF)).where("held_out").join(labels, "doc_id")
+    assert got.count() > 10 and got.where("predicted = toxic").count() >= 0.9 * got.count()
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
     r = random.Random(8)
     say = lambda bad: " ".join(r.choice(["the", "of", "and", "sun", "moon", "day", "road", "tree"]) for _ in range(40)) + (" scumword vileterm" if bad else "")
@@ -403,6 +568,18 @@ def test_payloads_come_back(spark, texts):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_columns_of_images_are_read(spark):
+    r = np.random.default_rng(5)
+    px = r.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[r.integers(0, 9, (6, 11))]
+    tools = [((), 0, False), (("palette",), 0, True), (("predict", "cross", "green"), 5, True), (("green",), 4, False)]
+    files = [(i, bytes(webp.encode_pixels(px, t, 11, cache, matches)), "x") for i, (t, cache, matches) in enumerate(tools)]
+    files += [(4, None, "x"), (5, b"", "x"), (6, files[0][1][:40], "x"), (7, b"RIFF" + bytes(60), "x")]
+    got = {x.id: x for x in webp.read(spark.createDataFrame(files, "id long, media binary, width string")).collect()}
+    want = np.stack([px >> s & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8).tobytes()
+    assert all((got[i].width, got[i].height, bytes(got[i].pixels), got[i].error) == (11, 6, want, None) for i in range(4))
+    assert [got[i].pixels for i in (4, 5, 6, 7)] == [None] * 4 and got[4].error is None and all(got[i].error for i in (5, 6, 7))
+
+
 def test_ids_equal_the_library(texts):
     sentencepiece = pytest.importorskip("sentencepiece")
     ours, theirs = sentencepieces.load(queries.MODEL), sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
@@ -414,6 +591,22 @@ def test_ids_equal_the_library(texts):
         assert ours.decode(ids[at[i] : at[i + 1]]) == t.encode()
 
 
+def test_ids_become_texts_again(spark, docs, texts):
+    pieces = sentencepieces.load(queries.MODEL)
+    encoded = sentencepieces.encode(docs.select("doc_id", "text"), pieces, digests=False)
+    assert {r.doc_id: r.text for r in sentencepieces.decode(encoded, pieces).collect()} == {i: t or "" for i, t in texts.items()}
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, [pieces.byte_ids[0xFF]], "x")], "id long, token_ids array<int>, text string")
+    assert {r.id: r.text for r in sentencepieces.decode(odd, pieces).collect()} == {1: "", 2: "", 3: "\ufffd"}
+
+
+def test_what_a_worker_remembers_is_bounded():
+    r = sentencepieces.Recent(6)
+    for i in range(100):
+        r.keep(i, i * i)
+        assert len(r) + len(r.older) <= 6 and r[i] == i * i
+    assert r[99] == 99**2 and r[3] is None
+
+
 def test_unigram_search_equals_enumeration():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bab"]
     scores = [0.0, -3.1, -2.2, -2.4, -3.3, -3.9, -5.2, -3.0, -4.9]
@@ -471,3 +664,62 @@ def test_pipeline_stages_take_effect(spark, docs, texts):
     clean = P.drop_toxic(spark, docs, str(SF))
     assert 0.5 * docs.count() < clean.count() <= docs.count() and clean.columns == docs.columns
     assert P.run(spark, str(SF)).where("size(token_ids) <> n_tokens").count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, docs, texts):
+    pytest.importorskip("corpus_pipeline")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import corpus_pipeline as P
+    import duckdb
+    import pyarrow as pa
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scorer = toxicity.fit(docs, labels, queries.in_training())
+    clean = {r.doc_id for r in toxicity.score(docs, scorer).where("toxic_score < 0.5").collect()}
+    left = {i: t for i, t in texts.items() if i in clean}
+    left = {i: left[i] for i in set(near_classes(left).values())}
+    field = secrets.fit(docs.where(F.col("doc_id").isin(*left)))
+    masked = {}
+    for i, t in left.items():
+        out, at = "", 0
+        for a, b, _ in sorted(secrets.find(pa.array([t], pa.string()), field)[0]):
+            out, at = out + ((t or "")[at:a] + "[SECRET]" if a >= at else ""), max(at, b)
+        out += (t or "")[at:]
+        masked[i] = out
+        assert all(x not in out or x in "[SECRET]" for x in ((t or "")[int(s.split(":")[1]) : int(s.split(":")[2])] for s in plain_spans(t or "")))
+    rest = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(masked), "text": list(masked.values()), "source": [rest[i][1] for i in masked]}))
+    mixed = con.sql(mixing.ORACLE.replace("2.0", "1.5")).df()
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    want = sorted((i, *rest[i], tuple(model.encode(masked[i]))) for i in mixed.doc_id.tolist())
+    assert len(want) > len(masked) > 100
+    got = P.run(spark, str(SF)).collect()
+    assert sorted((r.doc_id, r.lang, r.source, tuple(r.token_ids)) for r in got) == want and all(r.n_tokens == len(r.token_ids) for r in got)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 0), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    for docs in (odd, odd.limit(0)):
+        df = docs
+        for name, stage in P.STAGES[:-1]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == docs.columns, name
+        out = P.encode(spark, df, str(tmp_path)).collect()
+        if docs is not odd:
+            assert out == []
+            continue
+        # no text is known to be toxic; 8 has the text of 1, 3 that of 2
+        assert {r.doc_id for r in out} == {1, 2, 4, 5, 6, 7, None, 9, 10}
+        by = {r.doc_id: r for r in out}
+        assert by[2].token_ids == [] and by[7].n_tokens >= 6000 and by[1].lang == "en"
+        kept = {r.doc_id: r for r in df.collect()}
+        assert kept[6].text == "größe 日本語 🤯 [SECRET] end" or "[SECRET]" in kept[6].text
+        assert all(r.n_tokens == "x" and r.spans == "x" and r.toxic == "x" for r in kept.values())
+        docs.drop("n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+        again = P.run(spark, str(tmp_path)).collect()
+        assert sorted(map(key, again)) == sorted(map(key, out))

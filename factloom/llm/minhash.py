@@ -14,8 +14,10 @@ which joins most of a large group at a few candidates a member. Candidates whose
 too few slots for the threshold are dropped, the others are verified on the exact multisets, and
 components of the verified links are found. In buckets that still hold several components, every
 two members of different ones are then compared: in blocks, by their slots, and where enough agree
-by the shared elements of all exact multisets of the block at once. No pair of a bucket is left
-out; the cost grows with the members outside the bucket's largest component times all its members.
+by the shared elements of all exact multisets of the block at once. In a bucket with very many
+members outside its largest component, such as texts on one form, only those are compared that
+share one of their rarest elements, which every two of the threshold do, so the cost does not grow
+with the bucket's square. No pair of a bucket that could reach the threshold is left out.
 Equal texts are collapsed before all this and take their class from the one that stands for them.
 
 Defined cases: null text counts as empty; texts without words form a class only with equal texts;
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components, discard, settle
+from .components import components, discard, in_batches, settle
 from .textops import U64, chunks, flat, mix, prefix_hash, span_hash, word_spans
 
 #: Slots of a signature, in bands of ROWS. A pair of similarity 0.8 shares no band with
@@ -49,6 +51,8 @@ PRESUMED = 0.6
 HUBS = 4
 #: Members, and elements of their multisets, in a block of a bucket, about.
 BLOCK, BLOCK_ITEMS = 256, 2_000_000
+#: Blocks of members outside a bucket's largest component beyond which it is dealt by rare elements.
+FAR = 4
 #: Rows in a batch while multisets travel.
 PAIRS = 400
 #: So many ids at most are broadcast.
@@ -219,7 +223,7 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one of another component, and this is the first bucket that the two share."""
     least = int(np.ceil(PRESUMED * SLOTS - 1e-9))
     for group in _groups(batches):
-        band, label, ids = (group[c].to_numpy() for c in ("band", "label", "id"))
+        band, label, ids, far = (group[c].to_numpy() for c in ("band", "label", "id", "far"))
         slots = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
         agree = np.zeros((len(ids), len(ids)), np.uint8)
         for column in slots.T:
@@ -228,7 +232,7 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(x):
             continue
         every = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        here = every[x, (every[x] == every[y]).argmax(1)] == band[x]
+        here = (every[x, (every[x] == every[y]).argmax(1)] == band[x]) | far[x]
         kept = np.unique(np.concatenate([x[here], y[here]]))
         yield pa.record_batch([pa.array(group["at"].to_numpy()[kept]), pa.array(ids[kept])], ["at", "id"])
 
@@ -278,14 +282,18 @@ def _linked(threshold: float):  # noqa: ANN202
     return run
 
 
-def _blocks(here: DataFrame) -> DataFrame:
-    """(at, band, id, label) of buckets that hold several components, dealt to groups of bounded size
-    so that every two members of different components meet in one of them. The largest component of
-    a bucket is not dealt against itself. In a bucket of two the first round has tried the pair."""
+def _parts(here: DataFrame) -> DataFrame:
+    """By bucket of (band, id, size, label): members, elements and labels, and those of its largest component."""
     parts = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    parts = parts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("labels"))
+    return parts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+
+
+def _blocks(here: DataFrame, parts: DataFrame) -> DataFrame:
+    """(at, band, id, label) of the buckets ``parts``, dealt to groups of bounded size so that every
+    two members of different components meet in one of them. The largest component of a bucket is
+    not dealt against itself."""
     count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
-    parts = parts.where("labels > 1 and n > 2").select(
+    parts = parts.select(
         F.col("band").alias("_band"),
         F.col("top.label").alias("main"),
         count(F.col("n"), F.col("total")).alias("whole"),
@@ -301,6 +309,27 @@ def _blocks(here: DataFrame) -> DataFrame:
     return dealt.select("band", "id", "label", F.explode(meets).alias("at"))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ident, raw in zip(batch["id"], batch["items"], strict=True):
+            item = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.record_batch([pa.array(np.full(len(item), ident.as_py())), pa.array(item)], ["id", "item"])
+
+
+def _by_rare(members: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(band, id, size, label): members under each element of their prefixes, as ``band``.
+
+    In one order of all elements, rare ones first, two multisets of n and m elements that reach the
+    threshold share one of the first n - ceil(threshold n) + 1 of the one and of the first m -
+    ceil(threshold m) + 1 of the other. An element that only one member has joins nothing."""
+    each = items.mapInArrow(_elements, "id long, item long")
+    common = each.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = each.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("known"))
+    both = members.select("id", "size", "label").distinct().join(known, "id")
+    prefix = (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))).cast("int")
+    return both.where(prefix > 0).select(F.explode(F.slice("known", F.lit(1), prefix)).alias("k"), "id", "size", "label").select(F.col("k.item").alias("band"), "id", "size", "label")
+
+
 def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
     """Components (id, component) of the verified links between texts that stand for themselves;
     ``texts`` gives (id, text) for a table of ids."""
@@ -337,10 +366,18 @@ def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold
 
     # what the hubs did not join: all other pairs of different components
     here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("label"))
-    dealt = settle(_blocks(here))
+    # the first round has tried the pair of a bucket of two
+    parts = settle(_parts(here).where("n > 2").withColumn("far", F.col("n") - F.col("top.n") > FAR * BLOCK))
+    dealt = _blocks(here, parts.where("not far")).withColumn("far", F.lit(False))
+    if parts.where("far").limit(1).count():
+        among = settle(here.join(parts.where("far").select("band"), "band"))
+        items = multisets(among.select("id"))
+        rare = settle(_by_rare(among, items, threshold))
+        dealt = dealt.unionByName(_blocks(rare, _parts(rare)).withColumn("far", F.lit(True)))
+    dealt = settle(dealt)
     discard(members)
     signs = signed.select("id", "signature", "bands")
-    wide = dealt.join(signs, "id").select("at", "band", "id", "label", "signature", "bands").repartition("at").sortWithinPartitions("at")
+    wide = dealt.join(signs, "id").select("at", "band", "id", "label", "far", "signature", "bands").repartition("at").sortWithinPartitions("at")
     rest = settle(wide.mapInArrow(_unsettled, "at long, id long"))
     discard(dealt)
     items = multisets(rest.select("id"))
@@ -369,7 +406,7 @@ def _settings(spark: SparkSession) -> Iterator[None]:
 
 def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) per row: class_id is the least doc_id of the class."""
-    keyed = _keyed(documents)
+    keyed = _keyed(in_batches(documents))
     rows = keyed.select("doc_id", "same", "text").mapInArrow(_sign, "doc_id long, same struct<x1:long,x2:long>, bands array<long>, signature binary, has_words boolean, size long")
     alone = settle(
         rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("has_words").alias("has_words"), F.first("size").alias("size"))

@@ -14,7 +14,9 @@ which joins most of a large group at a few candidates a member. Candidates whose
 too few slots for the threshold are dropped, the others are verified on the exact multisets, and
 components of the verified links are found. In buckets that still hold several components, every
 two members of different ones are then compared: in blocks, by their slots, and where enough agree
-by the shared elements of all exact multisets of the block at once. In a bucket with very many
+by the shared elements of all exact multisets of the block at once. Large buckets of the same
+components, as a large family has in most bands, are made one first, so that its pairs are compared
+once. In a bucket with very many
 members outside its largest component, such as texts on one form, only those are compared that
 share one of their rarest elements, which every two of the threshold do, so the cost does not grow
 with the bucket's square. No pair of a bucket that could reach the threshold is left out.
@@ -223,7 +225,7 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one of another component, and this is the first bucket that the two share."""
     least = int(np.ceil(PRESUMED * SLOTS - 1e-9))
     for group in _groups(batches):
-        band, label, ids, far = (group[c].to_numpy() for c in ("band", "label", "id", "far"))
+        band, label, ids, anywhere = (group[c].to_numpy() for c in ("band", "label", "id", "any"))
         slots = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
         agree = np.zeros((len(ids), len(ids)), np.uint8)
         for column in slots.T:
@@ -232,7 +234,7 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(x):
             continue
         every = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        here = (every[x, (every[x] == every[y]).argmax(1)] == band[x]) | far[x]
+        here = (every[x, (every[x] == every[y]).argmax(1)] == band[x]) | anywhere[x]
         kept = np.unique(np.concatenate([x[here], y[here]]))
         yield pa.record_batch([pa.array(group["at"].to_numpy()[kept]), pa.array(ids[kept])], ["at", "id"])
 
@@ -283,30 +285,49 @@ def _linked(threshold: float):  # noqa: ANN202
 
 
 def _parts(here: DataFrame) -> DataFrame:
-    """By bucket of (band, id, size, label): members, elements and labels, and those of its largest component."""
+    """Of each bucket (rows band, id, size, label) that holds several components: members, elements and
+    labels, those of its largest component, the groups that its members, those of that component and
+    the others are dealt to, and the rows that this takes."""
+    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
     parts = here.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    return parts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    parts = parts.withColumns({"whole": count(F.col("n"), F.col("total")), "mains": count(F.col("top.n"), F.col("top.size")), "others": count(F.col("n") - F.col("top.n"), F.col("total") - F.col("top.size"))})
+    dealt = F.col("top.n") * F.col("others") + (F.col("n") - F.col("top.n")) * (F.col("mains") + F.col("others"))
+    return parts.withColumn("rows", F.when(F.col("whole") == 1, F.col("n")).otherwise(dealt))
+
+
+def _merged(here: DataFrame, parts: DataFrame) -> DataFrame:
+    """``here`` with ``any``: False, or True in buckets made of several that are too large for one
+    group and hold the same components. The documents of a large family share most of its buckets;
+    here they stand in one, so two of them are compared once and not in every band. Buckets stay as
+    they are where that takes fewer rows."""
+    large = settle(parts.where("whole > 1").select("band", "rows", F.col("top.label").alias("main")))
+    own = here.withColumn("any", F.lit(False))
+    if not large.limit(1).count():
+        return own
+    there = here.join(large, "band")
+    family = components(settle(there.select(F.col("label").alias("a"), F.col("main").alias("b")).where("a <> b").distinct()))
+    family = family.select(F.col("id").alias("label"), F.col("component").alias("family"))
+    joint = settle(there.join(family, "label").select(F.xxhash64("family", F.lit(3)).alias("band"), "id", "size", "label").distinct())
+    apart = large.join(family, F.col("main") == F.col("label")).groupBy(F.xxhash64("family", F.lit(3)).alias("joint")).agg(F.sum("rows").alias("apart"), F.collect_list("band").alias("bands"))
+    better = settle(_parts(joint).join(apart, F.col("band") == F.col("joint")).where(F.col("rows") < F.col("apart")).select("joint", "bands"))
+    own = own.join(better.select(F.explode("bands").alias("band")), "band", "left_anti")
+    joint = joint.join(better.select(F.col("joint").alias("band")), "band", "left_semi")
+    return own.unionByName(joint.withColumn("any", F.lit(True)))
 
 
 def _blocks(here: DataFrame, parts: DataFrame) -> DataFrame:
-    """(at, band, id, label) of the buckets ``parts``, dealt to groups of bounded size so that every
-    two members of different components meet in one of them. The largest component of a bucket is
-    not dealt against itself."""
-    count = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
-    parts = parts.select(
-        F.col("band").alias("_band"),
-        F.col("top.label").alias("main"),
-        count(F.col("n"), F.col("total")).alias("whole"),
-        count(F.col("top.n"), F.col("top.size")).alias("mains"),
-        count(F.col("n") - F.col("top.n"), F.col("total") - F.col("top.size")).alias("others"),
-    )
+    """(at, band, id, label, any) of the buckets ``parts``, dealt to groups of bounded size so that
+    every two members of different components meet in one of them. The largest component of a bucket
+    is not dealt against itself."""
+    parts = parts.select(F.col("band").alias("_band"), F.col("top.label").alias("main"), "whole", "mains", "others")
     dealt = here.join(parts, F.col("band") == F.col("_band")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     group = lambda kind, x, y: F.xxhash64("band", F.lit(kind), x, y)
     upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     meets = F.when(F.col("whole") == 1, F.array(group(0, F.lit(0), F.lit(0))))
     meets = meets.when(F.col("label") == F.col("main"), upto("others", lambda j: group(1, F.col("own"), j)))
     meets = meets.otherwise(F.concat(upto("mains", lambda i: group(1, i, F.col("own"))), upto("others", lambda j: group(2, F.least("own", j), F.greatest("own", j)))))
-    return dealt.select("band", "id", "label", F.explode(meets).alias("at"))
+    return dealt.select("band", "id", "label", "any", F.explode(meets).alias("at"))
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +346,7 @@ def _by_rare(members: DataFrame, items: DataFrame, threshold: float) -> DataFram
     each = items.mapInArrow(_elements, "id long, item long")
     common = each.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = each.join(common, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("known"))
-    both = members.select("id", "size", "label").distinct().join(known, "id")
+    both = members.join(known, "id")
     prefix = (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))).cast("int")
     return both.where(prefix > 0).select(F.explode(F.slice("known", F.lit(1), prefix)).alias("k"), "id", "size", "label").select(F.col("k.item").alias("band"), "id", "size", "label")
 
@@ -367,17 +388,19 @@ def _links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold
     # what the hubs did not join: all other pairs of different components
     here = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("label"))
     # the first round has tried the pair of a bucket of two
+    here = settle(_merged(here, settle(_parts(here).where("n > 2"))))
     parts = settle(_parts(here).where("n > 2").withColumn("far", F.col("n") - F.col("top.n") > FAR * BLOCK))
-    dealt = _blocks(here, parts.where("not far")).withColumn("far", F.lit(False))
+    dealt = _blocks(here, parts.where("not far"))
     if parts.where("far").limit(1).count():
-        among = settle(here.join(parts.where("far").select("band"), "band"))
+        among = settle(here.join(parts.where("far").select("band"), "band").select("id", "size", "label").distinct())
         items = multisets(among.select("id"))
         rare = settle(_by_rare(among, items, threshold))
-        dealt = dealt.unionByName(_blocks(rare, _parts(rare)).withColumn("far", F.lit(True)))
+        rare = settle(_merged(rare, settle(_parts(rare))).withColumn("any", F.lit(True)))
+        dealt = dealt.unionByName(_blocks(rare, _parts(rare)))
     dealt = settle(dealt)
     discard(members)
     signs = signed.select("id", "signature", "bands")
-    wide = dealt.join(signs, "id").select("at", "band", "id", "label", "far", "signature", "bands").repartition("at").sortWithinPartitions("at")
+    wide = dealt.join(signs, "id").select("at", "band", "id", "label", "any", "signature", "bands").repartition("at").sortWithinPartitions("at")
     rest = settle(wide.mapInArrow(_unsettled, "at long, id long"))
     discard(dealt)
     items = multisets(rest.select("id"))

@@ -226,6 +226,23 @@ def test_many_pairs_on_one_form(spark):
     assert got == pair_classes(texts)
 
 
+def test_a_family_of_many_buckets_is_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    dealt, blocks = [], minhash._blocks
+
+    def counted(here, parts):
+        out = blocks(here, parts)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_blocks", counted)
+    words, form, _ = form_texts("d", 0)
+    texts = [f"{form} {words(f'own{i}f', 62)}" for i in range(120)] + [f"{form} {words(name, 45)}" for name in ("left", "right")]
+    assert class_ids(spark, texts) == pair_classes(texts)
+    # each text once with the others of 4 groups of 32, not so in each of 20 bands
+    assert sum(dealt) < 12 * len(texts)
+
+
 def test_shared_elements_are_counted_in_strips():
     r = np.random.default_rng(3)
     items = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 50, 50, 90)]

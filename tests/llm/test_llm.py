@@ -605,6 +605,15 @@ def test_payloads_come_back(spark, texts):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_prefix_codes_are_made_from_the_image():
+    r = np.random.default_rng(5)
+    for kinds, bits in (([200, 201, 202, 203], 2), ([7], 0), (list(range(128, 136)), 3), (list(range(256)), 8)):
+        payload = r.choice(np.array(kinds, np.uint8), 192 * 100).tobytes()
+        media = webp.encode_payload(payload)
+        assert webp.decode_payload(media)[0] == payload
+        assert 8 * len(media) < (bits + 0.1) * len(payload) + 8 * 400
+
+
 def test_columns_of_images_are_read(spark):
     r = np.random.default_rng(5)
     px = r.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[r.integers(0, 9, (6, 11))]

@@ -11,8 +11,10 @@ talk in three rounds, all of which the block answers from its own texts:
 1. the block sends the distinct anchors it has, as differences of sorted hashes; a bucket answers
    which of them stand in another document, and which have very many contexts;
 2. for these anchors, each distinct context travels as a hash with its least id: this settles the
-   copies of a whole context, of which only the one of least id goes on, and only where its anchor
-   has other contexts. The contexts of a very frequent anchor are taken apart into their single
+   copies of a whole context, of which only the one of least id goes on, and only where another
+   context of its anchor has the same bytes on one side of it (as a hash of half of what a string
+   has beside its anchor): anchors that meet by chance, which grow with the square of the corpus,
+   send no text. The contexts of a very frequent anchor are taken apart into their single
    strings here, which are nothing but whole copies, so no anchor gathers in one task;
 3. the bytes of what is still open, one context for all its copies, go to the merge.
 
@@ -50,6 +52,9 @@ from .textops import U64, flat, mix, powers, prefix_hash, span_hash
 ANCHOR = 32
 #: Bits of an anchor's and of a context's hash that travel.
 BITS = U64(48)
+#: Bits of an anchor's hash that stay behind in round 1, where two anchors taken for one only lead
+#: to more entries.
+SPARE = U64(8)
 #: Bytes of text that are hashed at a time.
 SEGMENT = 1 << 17
 #: Bits of a place in a segment; the other bits of a packed value order the anchors.
@@ -189,7 +194,7 @@ class Block:
             known[many] = np.minimum(distinct, 127) + two * 128
         ordered = self.anchor[self.order[self.heads]]
         for bucket, part in self.parts(ordered):
-            yield bucket, _steps(ordered[part]), known[part].tobytes()
+            yield bucket, _steps(ordered[part] >> SPARE), known[part].tobytes()
 
     def _told(self, kind: int, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two flags for each of the sorted hashes, as the buckets answered."""
@@ -236,11 +241,26 @@ class Block:
         self.entry = np.repeat(np.arange(len(self.first)), _runs(self.first, len(order)))
         self.least = self.by[order[self.first]]
 
+    def sides(self) -> np.ndarray:
+        """Of each entry 8 bits for the bytes left of its anchor and 8 for those on the right, as many
+        as two contexts that share a string have in common on one side at least; 0: too few there."""
+        inst, need = self.inst[self.first], -(-(self.length - ANCHOR) // 2)
+        at, out = self.at[inst] + self.place_of[inst], np.zeros(len(inst), U64)
+        room = self.place_of[inst], self.long[inst] - self.place_of[inst] - ANCHOR
+        for side, (have, first) in enumerate(zip(room, (at - need, at + ANCHOR), strict=True)):
+            some = np.flatnonzero((have >= need) & ~self.single[inst])
+            value = np.zeros(len(some), U64)
+            for k in range(need):
+                value = value * U64(0x100000001B3) + self.data[first[some] + k].astype(U64) + U64(1)
+            out[some] |= (mix(value) % U64(255) + U64(1)) << U64(8 * side)
+        return out
+
     def entries(self) -> Iterator[tuple]:
-        """(bucket, hashes, context hashes, rank of the owner, owners) of all entries."""
+        """(bucket, hashes, context hashes, sides, rank of the owner, owners) of all entries."""
+        sides = self.sides()
         for bucket, part in self.parts(self.key):
             ids, rank = np.unique(self.least[part], return_inverse=True)
-            yield bucket, _steps(self.key[part]), _planes(self.value[part]), _planes(rank, 4), _steps(ids.astype(np.int64).view(U64))
+            yield bucket, _steps(self.key[part]), _planes(self.value[part]), _planes(sides[part], 2), _planes(rank, 4), _steps(ids.astype(np.int64).view(U64))
 
     def answer(self) -> None:
         self.covered, self.open = self._told(2, self.key)
@@ -284,7 +304,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 _int, _bin = pa.int32(), pa.binary()
 _REPLY = pa.schema([("block", _int), ("kind", _int), ("bucket", _int), ("x", _bin), ("y", _bin)])
 _ANCHORS = pa.schema([("bucket", _int), ("block", _int), ("hash", _bin), ("known", _bin)])
-_ENTRIES = pa.schema([("bucket", _int), ("block", _int), ("hash", _bin), ("own", _bin), ("rank", _bin), ("ids", _bin)])
+_ENTRIES = pa.schema([("bucket", _int), ("block", _int), ("hash", _bin), ("own", _bin), ("sides", _bin), ("rank", _bin), ("ids", _bin)])
 _OPENED = pa.schema([("bucket", _int), ("block", _int), *((c, _bin) for c in ("hash", "entry", "owner", "size", "place", "bytes"))])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", _bin)])
 
@@ -337,20 +357,27 @@ def _send_entries(length: int, buckets: int):  # noqa: ANN202
 
 
 def _weigh_entries(rows: pa.Table) -> pa.Table:
-    """Of each context: has a smaller document a copy, and has its anchor another one elsewhere?"""
+    """Of each context: has a smaller document a copy, and may another one of its anchor elsewhere
+    share a string with it? That one then has the same bytes on one side of the anchor."""
     lists, owner = [_sums(x) for x in rows["hash"].to_pylist()], []
     for rank, ids in zip(rows["rank"].to_pylist(), rows["ids"].to_pylist(), strict=True):
         owner.append(_sums(ids).view(np.int64)[_numbers(rank, 4).astype(np.int64)])
-    key, own, owner = np.concatenate(lists), np.concatenate([_numbers(x) for x in rows["own"].to_pylist()]), np.concatenate(owner)
+    key, own, sides = np.concatenate(lists), *(np.concatenate([_numbers(x, n) for x in rows[c].to_pylist()]) for c, n in (("own", 6), ("sides", 2)))
+    owner = np.concatenate(owner)
     order = np.lexsort((owner, own, key))
     key, own, owner = key[order], own[order], owner[order]
-    copies, anchors = _heads(key, own), _heads(key)
-    least = np.repeat(owner[copies], _runs(copies, len(order)))
-    wide = _runs(anchors, len(order))
-    several = np.add.reduceat(np.isin(np.arange(len(order)), copies, assume_unique=True).astype(np.int64), anchors) > 1
-    mixed = np.minimum.reduceat(least, anchors) < np.maximum.reduceat(least, anchors)
+    copies = _heads(key, own)
+    least, n = owner[copies], _runs(copies, len(order))
+    may, each, sides = np.zeros(len(copies), bool), key[copies], sides[order][copies]
+    for side in (sides & U64(0xFF), sides >> U64(8)):
+        by = np.flatnonzero(side)
+        by = by[np.lexsort((side[by], each[by]))]
+        if len(by):
+            heads = _heads(each[by], side[by])
+            mixed = np.minimum.reduceat(least[by], heads) < np.maximum.reduceat(least[by], heads)
+            may[by] |= np.repeat(mixed, _runs(heads, len(by)))
     out = np.zeros((2, len(order)), bool)
-    out[0, order], out[1, order] = owner > least, np.repeat(several & mixed, wide)
+    out[0, order], out[1, order] = owner > np.repeat(least, n), np.repeat(may, n)
     return _answers(rows, 2, [len(x) for x in lists], out)
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,28 @@ def test_a_passage_with_a_neighbourhood_of_its_own_everywhere(spark):
         assert removal(df, hot=hot) == want
 
 
+@pytest.mark.parametrize("length", [50, 51, 32])
+def test_contexts_are_sent_only_where_they_may_share_a_string(length):
+    def rounds(texts):
+        docs = pa.table({"doc_id": range(len(texts)), "row_key": range(len(texts)), "text": texts, "block": pa.array([0] * len(texts), pa.int32())})
+        first = suffix_dedup._weigh_anchors(2000)(suffix_dedup._send_anchors(length, 1)(docs))
+        second = pa.concat_tables([first, suffix_dedup._weigh_entries(suffix_dedup._send_entries(length, 1)(docs, first))])
+        sent = suffix_dedup._send_open(length, 1)(docs, second)
+        third = pa.concat_tables([second, suffix_dedup._merge_bucket(length)(sent)]) if sent.num_rows else second
+        return sum(len(x) for x in sent["bytes"].to_pylist()), suffix_dedup._remove(length, 1)(docs, third)["n_removed"].to_pylist()
+
+    r = random.Random(7)
+    any_of = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    by_chance = any_of(34)
+    sent, removed = rounds([any_of(200) + by_chance + any_of(200) for _ in range(30)])
+    assert removed == [0] * 30 if length > 34 else sum(removed)
+    assert sent == 0 or length <= 34
+    # what is shared is found wherever the anchor stands in it
+    for _ in range(40):
+        shared = any_of(length)
+        assert rounds([f"{any_of(60)}{edge}{shared}{edge}{any_of(60)}" for edge in "XY"])[1] == [0, length]
+
+
 def test_contexts_do_not_depend_on_what_is_beside_them():
     r = np.random.default_rng(4)
     text = r.integers(97, 101, 3000).astype(np.uint8)

@@ -56,17 +56,19 @@ BITS = U64(48)
 #: to more entries.
 SPARE = U64(8)
 #: Bytes of text that are hashed at a time.
-SEGMENT = 1 << 17
-#: Bits of a place in a segment; the other bits of a packed value order the anchors.
+SEGMENT = 1 << 15
+#: Bits of a place in a segment, or in a block; the other bits of a packed value order the anchors.
 PLACE = U64(24)
+_COUNT = np.arange(1 << 17, dtype=U64)
 #: An anchor with more contexts than this, counted block by block, is taken apart into strings.
 HOT = 2000
 #: Bytes of contexts in a shard whose transform is built on its own, and in one merge, at least.
 SHARD, MERGE = 1 << 15, 1 << 21
 #: Symbols of a suffix that its entry carries, from which the first interleave is made.
 SEED = 6
-#: Blocks and buckets for each partition of the input.
-BLOCKS, BUCKETS = 4, 2
+#: Blocks and buckets for each partition of the input. Every block writes to every bucket, so messages
+#: grow with the square of the partitions.
+BLOCKS, BUCKETS = 4, 1
 TOP = (1 << 63) - 1
 
 
@@ -87,8 +89,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     for low in range(0, max(0, n - length + 1), SEGMENT):
         piece = data[low : low + SEGMENT + length - 1]
         prefix, (_, down) = prefix_hash(piece), powers(len(piece) + 1)
-        anchor = mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * down[: len(prefix) - ANCHOR])
-        least = anchor >> PLACE << PLACE | np.arange(len(anchor), dtype=U64)
+        anchor = prefix[ANCHOR:] - prefix[:-ANCHOR]
+        anchor *= down[: len(anchor)]
+        anchor = mix(anchor)
+        least = anchor >> PLACE
+        least <<= PLACE
+        least |= _COUNT[: len(anchor)] if len(anchor) <= len(_COUNT) else np.arange(len(anchor), dtype=U64)
         width, span = length - ANCHOR + 1, 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
@@ -112,24 +118,79 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _planes(values: np.ndarray, width: int = 6) -> bytes:
+def ordered_places(hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes of BITS bits, by hash. The upper bits are sorted as one number with the place,
+    which is quicker than sorting places; the few runs that the other bits divide are sorted again."""
+    n, spare = len(hashes), BITS + PLACE - U64(64)
+    if n > 1 << int(PLACE):
+        return np.argsort(hashes, kind="stable")
+    packed = hashes >> spare << PLACE
+    packed |= np.arange(n, dtype=U64)
+    packed.sort()
+    packed &= (U64(1) << PLACE) - U64(1)
+    order = packed.view(np.int64)
+    found = hashes[order]
+    late = np.flatnonzero(found[1:] < found[:-1])
+    if len(late):
+        upper = found >> spare
+        for value in np.unique(upper[late]):
+            a, b = np.searchsorted(upper, [value, value + U64(1)])
+            order[a:b] = order[a:b][np.argsort(found[a:b], kind="stable")]
+    return order
+
+
+# Messages are many and short (blocks times buckets), so all that goes to or came from other places is
+# worked on at once, and only cut from one array or put into it message by message.
+
+
+def _rows(values: np.ndarray) -> np.ndarray:
+    """The bytes of each number."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+
+
+def _planes(rows: np.ndarray, width: int = 6) -> bytes:
     """The low bytes of all numbers, then the next ones: high planes of small numbers compress away."""
-    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return rows.T[:width].tobytes()
 
 
-def _numbers(planes: bytes, width: int = 6) -> np.ndarray:
-    raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :width] = raw.T
-    return out.view("<u8").ravel()
+def _numbers(planes: list[bytes], width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all messages, and how many each has."""
+    sizes = np.array([len(x) // width for x in planes], np.int64)
+    out, at = np.zeros((int(sizes.sum()), 8), np.uint8), 0
+    for x, n in zip(planes, sizes.tolist(), strict=True):
+        out[at : at + n, :width] = np.frombuffer(x, np.uint8).reshape(width, n).T
+        at += n
+    return out.view("<u8").ravel(), sizes
 
 
-def _steps(ordered: np.ndarray) -> bytes:
-    return _planes(np.diff(ordered, prepend=ordered[:1] * 0), 8)
+def _steps(ordered: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences, anew from each start."""
+    out = np.diff(ordered, prepend=ordered[:1] * 0)
+    out[starts] = ordered[starts]
+    return out
 
 
-def _sums(planes: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(planes, 8), dtype=U64)
+def _sums(planes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ordered numbers of all messages of differences, and how many each has."""
+    steps, sizes = _numbers(planes, 8)
+    total, starts = np.cumsum(steps, dtype=U64), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[starts] - steps[starts], sizes), sizes
+
+
+def _packed(flags: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Eight flags to a byte, for each message."""
+    wide = -(-sizes // 8)
+    ends = np.cumsum(wide)
+    out = np.zeros(8 * int(wide.sum()), bool)
+    out[np.arange(len(flags)) + np.repeat(8 * (ends - wide) - (np.cumsum(sizes) - sizes), sizes)] = flags
+    raw = np.packbits(out).tobytes()
+    return [raw[b - n : b] for b, n in zip(ends.tolist(), wide.tolist(), strict=True)]
+
+
+def _flags(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    wide = -(-sizes // 8)
+    out = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8)).view(bool)
+    return out[np.arange(sizes.sum()) + np.repeat(8 * (np.cumsum(wide) - wide) - (np.cumsum(sizes) - sizes), sizes)]
 
 
 def _heads(*ordered: np.ndarray) -> np.ndarray:
@@ -150,10 +211,6 @@ def _bounds(heads: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     return zip(heads.tolist(), [*heads[1:].tolist(), n][: len(heads)], strict=True)
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
 class Block:
     """The documents of a block, in an order of their own, with their contexts and entries."""
 
@@ -164,18 +221,18 @@ class Block:
         self.data, self.offsets = flat(docs["text"])
         self.start, self.size, self.place, self.anchor, self.own = contexts(self.data, self.offsets, length)
         self.owner = self.ids[np.searchsorted(self.offsets, self.start, "right") - 1] if len(self.start) else self.start
-        self.order = np.argsort(self.anchor, kind="stable")
+        self.order = ordered_places(self.anchor)
         self.heads = _heads(self.anchor[self.order])
         self.said: dict[int, list] = {1: [], 2: [], 3: []}
         if replies is not None:
             for kind, bucket, x, y in sorted(zip(*(replies[c].to_pylist() for c in ("kind", "bucket", "x", "y")), strict=True)):
                 self.said[kind].append((bucket, x, y))
 
-    def parts(self, ordered: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The buckets of sorted hashes, and which part each has."""
+    def parts(self, ordered: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Where the buckets of sorted hashes begin; the buckets, and which part each has."""
         of = ((ordered * U64(self.buckets)) >> BITS).astype(np.int64)
-        for a, b in _bounds(_heads(of), len(of)):
-            yield int(of[a]), slice(a, b)
+        starts = _heads(of)
+        return starts, [(k, slice(a, b)) for k, (a, b) in zip(of[starts].tolist(), _bounds(starts, len(of)), strict=True)]
 
     def anchors(self) -> Iterator[tuple]:
         """Round 1: (bucket, distinct anchors, contexts of each up to 127 and 128 if of two ids)."""
@@ -193,17 +250,18 @@ class Block:
             two = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
             known[many] = np.minimum(distinct, 127) + two * 128
         ordered = self.anchor[self.order[self.heads]]
-        for bucket, part in self.parts(ordered):
-            yield bucket, _steps(ordered[part] >> SPARE), known[part].tobytes()
+        starts, parts = self.parts(ordered)
+        steps = _rows(_steps(ordered >> SPARE, starts))
+        for bucket, part in parts:
+            yield bucket, _planes(steps[part], 8), known[part].tobytes()
 
     def _told(self, kind: int, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two flags for each of the sorted hashes, as the buckets answered."""
-        x, y = np.zeros(len(ordered), bool), np.zeros(len(ordered), bool)
-        answers = {b: (p, q) for b, p, q in self.said[kind]}
-        for bucket, part in self.parts(ordered):
-            n = part.stop - part.start
-            for out, bits in zip((x, y), answers[bucket], strict=True):
-                out[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        starts, parts = self.parts(ordered)
+        if [k for k, _ in parts] != [k for k, _, _ in self.said[kind]]:
+            raise ValueError("a bucket did not answer once")
+        sizes = _runs(starts, len(ordered))
+        x, y = (_flags([a[i] for a in self.said[kind]], sizes) for i in (1, 2))
         return x, y
 
     def settle(self) -> None:
@@ -257,10 +315,17 @@ class Block:
 
     def entries(self) -> Iterator[tuple]:
         """(bucket, hashes, context hashes, sides, rank of the owner, owners) of all entries."""
-        sides = self.sides()
-        for bucket, part in self.parts(self.key):
-            ids, rank = np.unique(self.least[part], return_inverse=True)
-            yield bucket, _steps(self.key[part]), _planes(self.value[part]), _planes(sides[part], 2), _planes(rank, 4), _steps(ids.astype(np.int64).view(U64))
+        starts, parts = self.parts(self.key)
+        steps, value, sides = _rows(_steps(self.key, starts)), _rows(self.value), _rows(self.sides())
+        least, of = self.least.astype(np.int64), np.repeat(np.arange(len(starts)), _runs(starts, len(self.key)))
+        order = np.lexsort((least, of))
+        heads = _heads(of[order], least[order])
+        first = np.searchsorted(heads, starts)  # of each bucket's owners
+        rank = np.zeros(len(order), np.int64)
+        rank[order] = np.repeat(np.arange(len(heads)), _runs(heads, len(order)))
+        rank, ids = _rows(rank - first[of]), _rows(_steps(least[order[heads]].view(U64), first))
+        for (bucket, part), (a, b) in zip(parts, _bounds(first, len(heads)), strict=True):
+            yield bucket, _planes(steps[part], 8), _planes(value[part]), _planes(sides[part], 2), _planes(rank[part], 4), _planes(ids[a:b], 8)
 
     def answer(self) -> None:
         self.covered, self.open = self._told(2, self.key)
@@ -270,11 +335,15 @@ class Block:
         inst = self.inst[self.first]
         keep = np.flatnonzero(self.open & ~self.covered & ~self.single[inst])
         ordered, inst = self.key[keep], inst[keep]
-        for bucket, part in self.parts(ordered):
-            at, size = self.at[inst[part]], self.long[inst[part]]
-            text = self.data[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            owner = self.least[keep[part]].astype(np.int64).view(U64)
-            yield bucket, _steps(ordered[part]), _planes(keep[part], 4), _planes(owner, 8), _planes(size, 4), _planes(self.place_of[inst[part]], 4), text.tobytes()
+        starts, parts = self.parts(ordered)
+        at, size = self.at[inst], self.long[inst]
+        end = np.cumsum(size)
+        text = self.data[np.repeat(at - (end - size), size) + np.arange(size.sum())]
+        steps, keep_, sizes, place = _rows(_steps(ordered, starts)), _rows(keep), _rows(size), _rows(self.place_of[inst])
+        owner = _rows(self.least[keep].astype(np.int64).view(U64))
+        for bucket, part in parts:
+            own = text[end[part.start] - size[part.start] : end[part.stop - 1]]
+            yield bucket, _planes(steps[part], 8), _planes(keep_[part], 4), _planes(owner[part], 8), _planes(sizes[part], 4), _planes(place[part], 4), own.tobytes()
 
     def gone(self) -> np.ndarray:
         """Whether each byte goes."""
@@ -285,15 +354,16 @@ class Block:
         np.add.at(edge, at[whole], 1)
         np.add.at(edge, at[whole] + size[whole], -1)
         runs = _runs(self.first, len(entry))
-        for _, x, y in self.said[3]:
-            named, place = _numbers(x, 4).astype(np.int64), _numbers(y, 4).astype(np.int64)
+        if self.said[3]:
+            named, place = (_numbers([a[i] for a in self.said[3]], 4)[0].astype(np.int64) for i in (1, 2))
             # every copy in the block of the context that was merged
             n = runs[named]
             copies = np.repeat(self.first[named] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             begin = at[copies] + np.repeat(place, n)
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + self.length, -1)
-        return np.cumsum(edge[:-1]) > 0
+        np.cumsum(edge, out=edge)
+        return edge[:-1] > 0
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -326,9 +396,8 @@ def _weigh_anchors(hot: int):  # noqa: ANN202
     """Of each anchor: does it stand in two documents, and has it more than ``hot`` contexts?"""
 
     def run(rows: pa.Table) -> pa.Table:
-        lists = [_sums(x) for x in rows["hash"].to_pylist()]
+        every, sizes = _sums(rows["hash"].to_pylist())
         known = np.frombuffer(b"".join(rows["known"].to_pylist()), np.uint8)
-        every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")
         heads = _heads(every[order])
         n, known = _runs(heads, len(order)), known[order]
@@ -336,15 +405,14 @@ def _weigh_anchors(hot: int):  # noqa: ANN202
         much = np.add.reduceat((known & 127).astype(np.int64), heads) > hot
         out = np.zeros((2, len(order)), bool)
         out[0, order], out[1, order] = np.repeat(shared, n), np.repeat(shared & much, n)
-        return _answers(rows, 1, [len(x) for x in lists], out)
+        return _answers(rows, 1, sizes, out)
 
     return run
 
 
-def _answers(rows: pa.Table, kind: int, sizes: list[int], flags: np.ndarray) -> pa.Table:
-    ends = np.cumsum([0, *sizes])
-    bucket = rows["bucket"][0].as_py()
-    return _table([(block, kind, bucket, _bits(flags[0, a:b]), _bits(flags[1, a:b])) for block, a, b in zip(rows["block"].to_pylist(), ends, ends[1:], strict=False)], _REPLY)
+def _answers(rows: pa.Table, kind: int, sizes: np.ndarray, flags: np.ndarray) -> pa.Table:
+    n, (x, y) = len(sizes), (pa.array(_packed(f, sizes), _bin) for f in flags)
+    return pa.table([rows["block"].combine_chunks(), pa.array([kind] * n, _int), rows["bucket"].combine_chunks(), x, y], schema=_REPLY)
 
 
 def _send_entries(length: int, buckets: int):  # noqa: ANN202
@@ -359,11 +427,10 @@ def _send_entries(length: int, buckets: int):  # noqa: ANN202
 def _weigh_entries(rows: pa.Table) -> pa.Table:
     """Of each context: has a smaller document a copy, and may another one of its anchor elsewhere
     share a string with it? That one then has the same bytes on one side of the anchor."""
-    lists, owner = [_sums(x) for x in rows["hash"].to_pylist()], []
-    for rank, ids in zip(rows["rank"].to_pylist(), rows["ids"].to_pylist(), strict=True):
-        owner.append(_sums(ids).view(np.int64)[_numbers(rank, 4).astype(np.int64)])
-    key, own, sides = np.concatenate(lists), *(np.concatenate([_numbers(x, n) for x in rows[c].to_pylist()]) for c, n in (("own", 6), ("sides", 2)))
-    owner = np.concatenate(owner)
+    key, sizes = _sums(rows["hash"].to_pylist())
+    own, sides, rank = (_numbers(rows[c].to_pylist(), n)[0] for c, n in (("own", 6), ("sides", 2), ("rank", 4)))
+    ids, each = _sums(rows["ids"].to_pylist())
+    owner = ids.view(np.int64)[rank.astype(np.int64) + np.repeat(np.cumsum(each) - each, sizes)]
     order = np.lexsort((owner, own, key))
     key, own, owner = key[order], own[order], owner[order]
     copies = _heads(key, own)
@@ -378,7 +445,7 @@ def _weigh_entries(rows: pa.Table) -> pa.Table:
             may[by] |= np.repeat(mixed, _runs(heads, len(by)))
     out = np.zeros((2, len(order)), bool)
     out[0, order], out[1, order] = owner > np.repeat(least, n), np.repeat(may, n)
-    return _answers(rows, 2, [len(x) for x in lists], out)
+    return _answers(rows, 2, sizes, out)
 
 
 def _send_open(length: int, buckets: int):  # noqa: ANN202
@@ -397,17 +464,18 @@ def _remove(length: int, buckets: int):  # noqa: ANN202
         block.settle()
         block.answer()
         gone, at = block.gone(), block.offsets
-        total = np.concatenate([[0], np.cumsum(gone)])
-        begins = np.concatenate([gone[:1], gone[1:] & ~gone[:-1]])
+        total = np.searchsorted(np.flatnonzero(gone), at)
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
         # a document's run does not go on from the one before
         begins[at[:-1][at[:-1] < len(gone)]] |= gone[at[:-1][at[:-1] < len(gone)]]
-        spans = np.concatenate([[0], np.cumsum(begins)])
-        kept, left = block.data[~gone].tobytes(), at - total[at]
+        spans = np.searchsorted(np.flatnonzero(begins), at)
+        kept, left = block.data[~gone].tobytes(), at - total
         rows = []
         for i, (a, b) in enumerate(zip(left, left[1:], strict=False)):
             x, y = at[i], at[i + 1]
             part = kept[a:b]
-            rows.append((int(block.ids[i]), int(y - x), int(total[y] - total[x]), int(spans[y] - spans[x]), hashlib.sha256(part).hexdigest(), part))
+            rows.append((int(block.ids[i]), int(y - x), int(total[i + 1] - total[i]), int(spans[i + 1] - spans[i]), hashlib.sha256(part).hexdigest(), part))
         return _table(rows, _RESULT)
 
     return run
@@ -565,11 +633,10 @@ def _merged(anchor: np.ndarray, text: np.ndarray, begin: np.ndarray, size: np.nd
 def _merge_bucket(length: int):  # noqa: ANN202
     def run(rows: pa.Table) -> pa.Table:
         cols = {c: rows[c].to_pylist() for c in rows.column_names}
-        lists = [_sums(x) for x in cols["hash"]]
-        anchor = np.concatenate(lists)
-        block = np.repeat(cols["block"], [len(x) for x in lists])
-        entry, size, place = (np.concatenate([_numbers(x, 4) for x in cols[c]]).astype(np.int64) for c in ("entry", "size", "place"))
-        owner = np.concatenate([_numbers(x, 8) for x in cols["owner"]]).view(np.int64)
+        anchor, sizes = _sums(cols["hash"])
+        block = np.repeat(cols["block"], sizes)
+        entry, size, place = (_numbers(cols[c], 4)[0].astype(np.int64) for c in ("entry", "size", "place"))
+        owner = _numbers(cols["owner"], 8)[0].view(np.int64)
         raw = np.frombuffer(b"".join(cols["bytes"]), np.uint8)
         begin = np.cumsum(size) - size
         order = np.argsort(anchor, kind="stable")
@@ -586,7 +653,7 @@ def _merge_bucket(length: int):  # noqa: ANN202
             found.append((block[row], entry[row], np.array(p, np.int64)))
         blocks, entries, places = map(np.concatenate, zip(*found, strict=True))
         by = np.argsort(blocks, kind="stable")
-        blocks, entries, places = blocks[by], entries[by], places[by]
+        blocks, entries, places = blocks[by], _rows(entries[by]), _rows(places[by])
         bucket = cols["bucket"][0]
         return _table([(int(blocks[a]), 3, bucket, _planes(entries[a:b], 4), _planes(places[a:b], 4)) for a, b in _bounds(_heads(blocks), len(blocks))], _REPLY)
 

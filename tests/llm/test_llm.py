@@ -138,6 +138,33 @@ def test_contexts_are_sent_only_where_they_may_share_a_string(length):
         assert rounds([f"{any_of(60)}{edge}{shared}{edge}{any_of(60)}" for edge in "XY"])[1] == [0, length]
 
 
+def test_answers_of_many_buckets_are_read_at_once(monkeypatch):
+    r, calls = random.Random(3), []
+    text = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    shared = [text(300) for _ in range(20)]
+    texts = [text(90) + r.choice(shared) + text(90) for _ in range(60)] + ["", "x" * 49]
+    docs = pa.table({"doc_id": range(62), "row_key": range(62), "text": texts, "block": pa.array([0] * 62, pa.int32())})
+    by_bucket = lambda t: [t.filter(pa.array(t["bucket"].to_numpy() == b)) for b in np.unique(t["bucket"].to_numpy())]
+    weighed = lambda sent, f: pa.concat_tables(map(f, by_bucket(sent)))
+    first = weighed(suffix_dedup._send_anchors(50, 64)(docs), suffix_dedup._weigh_anchors(2000))
+    assert first.num_rows == 64
+    unpack = np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda *a, **b: calls.append(1) or unpack(*a, **b))
+    sent = suffix_dedup._send_entries(50, 64)(docs, first)
+    assert len(calls) == 2
+    second = pa.concat_tables([first, weighed(sent, suffix_dedup._weigh_entries)])
+    third = pa.concat_tables([second, weighed(suffix_dedup._send_open(50, 64)(docs, second), suffix_dedup._merge_bucket(50))])
+    got = suffix_dedup._remove(50, 64)(docs, third).to_pylist()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == removed([(i, t.encode()) for i, t in enumerate(texts)], 50)
+
+
+def test_places_are_ordered_by_all_bits_of_a_hash():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        hashes = r.integers(0, 40, n).astype(np.uint64) << np.uint64(8) | r.integers(0, 4, n).astype(np.uint64)
+        assert suffix_dedup.ordered_places(hashes).tolist() == np.argsort(hashes, kind="stable").tolist()
+
+
 def test_contexts_do_not_depend_on_what_is_beside_them():
     r = np.random.default_rng(4)
     text = r.integers(97, 101, 3000).astype(np.uint8)

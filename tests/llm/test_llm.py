@@ -664,6 +664,25 @@ def test_prefix_codes_are_made_from_the_image():
         assert 8 * len(media) < (bits + 0.1) * len(payload) + 8 * 400
 
 
+def test_payloads_use_the_tools_of_the_format(monkeypatch):
+    r = np.random.default_rng(6)
+    words = [r.integers(97, 123, int(n), dtype=np.uint8).tobytes() + b" " for n in r.integers(2, 9, 60)]
+    text = webp.pad(b"".join(words[k] for k in r.zipf(1.3, 4000) % 60))
+    grey = np.repeat(r.integers(0, 256, 64 * 100, dtype=np.uint8), 3).tobytes()
+    kinds, play = [], webp._play
+    monkeypatch.setattr(webp, "_play", lambda at, kind, *x: kinds.append(kind) or play(at, kind, *x))
+    media = webp.encode_payload(text)
+    assert webp.decode_payload(media)[0] == text
+    assert ((kinds[0] > 255) & (kinds[0] < 280)).any() and (kinds[0] > 279).any()  # copies and the cache
+    assert len(webp.encode_payload(grey)) < 0.4 * len(grey)  # subtract-green
+    assert webp.decode_payload(webp.encode_payload(grey))[0] == grey
+    # pixels of a place of the cache that nothing was put in
+    px = np.full((8, 8), 0xFF112233, np.uint32)
+    kind, begin = np.array([300, 5, 300]), np.arange(3)
+    assert webp._play_slowly(begin, kind, np.array([0, 7, 0], np.uint32), np.zeros(0, int), np.zeros(0, int), 6)[0] == 0
+    assert (webp.decode(webp.encode_pixels(px, (), 11, 6, True)) == px).all()
+
+
 def test_columns_of_images_are_read(spark):
     r = np.random.default_rng(5)
     px = r.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[r.integers(0, 9, (6, 11))]

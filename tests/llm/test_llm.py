@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -683,6 +684,34 @@ def test_payloads_use_the_tools_of_the_format(monkeypatch):
     assert (webp.decode(webp.encode_pixels(px, (), 11, 6, True)) == px).all()
 
 
+def test_images_are_written_by_tokens_and_read_in_slices(monkeypatch):
+    """No array of wide numbers for every bit of an image, in writing or reading; slices change nothing."""
+    r = np.random.default_rng(7)
+    payload = webp.pad(r.choice(np.frombuffer(b"aaabcdefghijklmnop  ", np.uint8), 1_500_000).tobytes())
+    webp.decode_payload(webp.encode_payload(payload[:1920]))
+    peaks = []
+    tracemalloc.start()
+    for step in (lambda: webp.encode_payload(payload), lambda: webp.decode_payload(media)):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        media = step()
+        peaks.append((tracemalloc.get_traced_memory()[1] - before) / len(payload))
+        media = media if isinstance(media, bytes) else None
+    tracemalloc.stop()
+    assert peaks[0] < 100 and peaks[1] < 60, peaks
+    px = r.integers(0, 2**32, 40, dtype=np.uint64).astype(np.uint32)[np.minimum(r.zipf(1.4, (30, 40)), 40) - 1]
+    for span in (8, 128, 1 << 15):
+        monkeypatch.setattr(webp, "SPAN", span)
+        webp._all_numbers.cache_clear()
+        for tools in itertools.product(((), ("green",), ("palette",)), (0, 4, 11), (False, True)):
+            assert (webp.decode(webp.encode_pixels(px, tools[0], 11, *tools[1:])) == px).all()
+        text = payload[:19200] + payload[:6400] * 2
+        assert webp.decode_payload(webp.encode_payload(webp.pad(text)))[0] == webp.pad(text)
+        with pytest.raises(ValueError, match="ends early"):
+            webp.decode(webp.encode_payload(payload[:19200])[:5000])
+    webp._all_numbers.cache_clear()
+
+
 def test_columns_of_images_are_read(spark):
     r = np.random.default_rng(5)
     px = r.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[r.integers(0, 9, (6, 11))]

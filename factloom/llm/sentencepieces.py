@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi search.
 
-The distinct marked words of a batch are sorted, which lists a trie depth-first: the forward
-states of the prefix that a word shares with the word before it are kept on a stack and only
-its remaining characters are searched. A word's ids then serve all its occurrences.
+The distinct marked words of a batch are sorted and made a trie; each of its nodes is a prefix, whose
+forward state is found once for all words that share it. For a BPE model all prefixes of one length
+are searched at once, from the shortest on. Long words, and those of a unigram model, are searched one
+after another: the states of the prefix that a word shares with the word before it are kept on a
+stack. A word's ids then serve all its occurrences.
 
 A forward state at position i holds the best last piece of the prefix of length i. For a
 unigram model it is the piece of highest total log-probability. For a BPE model piece scores
@@ -33,9 +35,13 @@ from .components import in_batches
 from .textops import chunks, flat
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a Python worker remembers (some 250 and 100 bytes each);
-#: words longer than LONG are not kept.
-STORE, PAIRS, LONG = 100_000, 400_000, 48
+#: Pairs of pieces that a Python worker remembers, of all words (a table of 8 bytes each, by the bits
+#: of a hash), and of those longer than LONG (some 100 bytes each).
+PLACES, PAIRS, LONG = 20, 100_000, 48
+#: Bits of a number of a piece (or of a character that is no piece), and what stands for no piece.
+WIDE, NONE = 22, (1 << 22) - 1
+#: Words that are searched, and whose ids are put in place, at a time.
+TOKENS = 1 << 17
 #: Bytes of text that are cut into words at a time; a longer text is alone.
 SLICE = 1 << 22
 
@@ -87,52 +93,186 @@ class Pieces:
             table[i] = b""
         table[unk] = " ⁇ ".encode()
         self.spelled = table
+        #: Lower for pieces that merge earlier.
+        self.rank = {p: -scores[i] for p, i in self.of.items()}
+        self._endings()
         self._reset()
 
+    def _endings(self) -> None:
+        """A trie of all pieces from their ends: ``edges`` (state and character, sorted) lead ``to`` states;
+        ``ended`` has the piece that a state stands for, or -1."""
+        steps, ended = {}, [-1]
+        for piece, i in self.of.items():
+            state = 0
+            for c in reversed(piece):
+                key = state << 21 | ord(c)
+                state = steps.get(key)
+                if state is None:
+                    state = steps[key] = len(ended)
+                    ended.append(-1)
+            ended[state] = i
+        self.edges = np.array(sorted(steps) or [-1], np.int64)
+        self.to = np.array([steps.get(k, 0) for k in self.edges.tolist()], np.int64)
+        self.ended = np.array(ended, np.int64)
+
     def _reset(self) -> None:
-        self.words, self.pairs = Recent(STORE), Recent(PAIRS)
+        self.pairs, self.known = Recent(PAIRS), np.full(1 << PLACES, -1, np.int64)
         #: Whether merging gives a piece whole: at most an entry for each piece of the vocabulary.
         self.whole: dict[str, bool] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "pairs", "whole")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "known", "whole")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._reset()
 
-    def merged(self, text: str) -> list[str]:
-        """The model's own merging: the adjacent pair of highest score, leftmost on ties."""
-        parts, of, scores = list(text), self.of, self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = of.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if at < 0:
-                break
+    def merged(self, text: str, apart: int = 0) -> list[str]:
+        """The model's own merging: the adjacent pair of highest score, leftmost on ties. Ends early, with
+        no parts, where it would join what stands on both sides of place ``apart``."""
+        parts, get, never = list(text), self.rank.get, float("inf")
+        ranks = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
+            if at < apart:
+                if at == apart - 1:
+                    return []
+                apart -= 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], never)
         return parts
 
     def _joins(self, left: str, right: str, a: int, b: int) -> bool:
         """Whether merging their joint text gives exactly these two, of ids ``a`` and ``b``."""
-        if len(right) > 1:
-            ok = self.whole.get(right)
-            if ok is None:
-                ok = self.whole[right] = self.merged(right) == [right]
-            if not ok:
-                return False
+        if not self._is_whole(right):
+            return False
         if not left:
             return True
         # no piece or marked word holds a space
         key = a << 32 | b if a >= 0 and b >= 0 else f"{left} {right}"
         ok = self.pairs[key]
         if ok is None:
-            ok = self.merged(left + right) == [left, right]
+            ok = self.merged(left + right, len(left)) == [left, right]
             self.pairs.keep(key, ok)
         return ok
 
+    def _is_whole(self, piece: str) -> bool:
+        if len(piece) < 2:
+            return True
+        ok = self.whole.get(piece)
+        if ok is None:
+            ok = self.whole[piece] = self.merged(piece) == [piece]
+        return ok
+
+    def _text(self, k: int) -> str:
+        return self.pieces[k] if k < len(self.pieces) else chr(k - len(self.pieces))
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of many pairs of numbers, whether merging their joint text gives exactly these two. What was
+        found is kept in one of two places that the pair's hash names, where a later pair may replace it."""
+        key = left << WIDE | right
+        place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)).astype(np.int64)
+        held = self.known[place]
+        other = np.flatnonzero(held >> 1 != key)
+        held[other] = self.known[place[other] ^ 1]
+        new = other[held[other] >> 1 != key[other]]
+        if len(new):
+            keys, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            found = []
+            for k in keys.tolist():
+                a, b = k >> WIDE, self._text(k & NONE)
+                ok = self._is_whole(b)
+                if ok and a != NONE:
+                    a = self._text(a)
+                    ok = self.merged(a + b, len(a)) == [a, b]
+                found.append(k << 1 | ok)
+            found, to = np.array(found, np.int64), place[new[first]]
+            self.known[np.where(self.known[to] < 0, to, to ^ 1)] = found
+            held[new] = found[which]
+        return (held & 1).astype(bool)
+
+    def walk(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a BPE model, ids of the sorted distinct ``words`` in one array, and how many each has: all
+        prefixes of one length are searched at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        begin = np.cumsum(size) - size
+        # the trie, a level at a time: words that share a prefix stand together
+        node, live, nodes = np.zeros(len(words), np.int64), np.arange(len(words)), 1
+        levels, depth = [], 0
+        while len(live := live[size[live] > depth]):
+            c, up = chars[begin[live] + depth].astype(np.int64), node[live]
+            new = np.ones(len(live), bool)
+            new[1:] = (c[1:] != c[:-1]) | (up[1:] != up[:-1])
+            node[live] = nodes - 1 + np.cumsum(new)
+            first = np.flatnonzero(new)
+            levels.append((c[first], up[first], live[first]))
+            nodes += len(first)
+            depth += 1
+        char = np.concatenate([np.zeros(1, np.int64), *(x[0] for x in levels)])
+        parent = np.concatenate([np.zeros(1, np.int64), *(x[1] for x in levels)])
+        # the last piece of each prefix, the prefix before it, and how many ids there are up to here
+        last, back, count = np.full(nodes, -1, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        last[0] = NONE
+        vocabulary, lo = len(self.pieces), 1
+        for depth, (c, _, word) in enumerate(levels, 1):
+            v = at = np.arange(lo, lo + len(c))
+            state = np.zeros(len(c), np.int64)
+            for n in range(1, self.longest + 1):
+                c = char[at]
+                key = state << 21 | c
+                edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                state = np.where(self.edges[edge] == key, self.to[edge], 0)
+                piece = self.ended[state]
+                if n == 1:
+                    piece = np.where(piece < 0, vocabulary + c, piece)
+                up = parent[at]
+                able = np.flatnonzero(piece >= 0)
+                done = able[self._join(last[up[able]], piece[able])]
+                last[v[done]], back[v[done]] = piece[done], up[done]
+                rest = (state > 0) & (up > 0)
+                rest[done] = False
+                v, at, state = v[rest], up[rest], state[rest]
+                if not len(v):
+                    break
+            level = slice(lo, lo + len(word))
+            for k in np.flatnonzero(last[level] < 0).tolist():  # no path in the lattice: merge this prefix itself
+                best = self.merged(words[word[k]][:depth])[-1]
+                last[lo + k] = self.of.get(best, vocabulary + ord(best[0]))
+                at = lo + k
+                for _ in best:
+                    at = parent[at]
+                back[lo + k] = at
+            count[level] = count[back[level]] + self._widths(last[level])
+            lo += len(word)
+        many = count[node]
+        ids, end = np.empty(int(many.sum()), np.int32), np.cumsum(many)
+        while len(node):
+            piece = last[node]
+            wide = self._widths(piece)
+            end = end - wide
+            ids[end] = np.where(piece < vocabulary, piece, self.unk)
+            if self.byte_ids and len(odd := np.flatnonzero(piece >= vocabulary)):
+                kinds, which = np.unique(piece[odd], return_inverse=True)
+                spelled = [[self.byte_ids[b] for b in chr(k - vocabulary).encode()] for k in kinds.tolist()]
+                for k in range(4):
+                    part = np.array([x[k] if k < len(x) else -1 for x in spelled])[which]
+                    ids[end[odd][part >= 0] + k] = part[part >= 0]
+            node = back[node]
+            end, node = end[node > 0], node[node > 0]
+        return ids, many
+
+    def _widths(self, piece: np.ndarray) -> np.ndarray:
+        """How many ids there are for each: bytes for a character that is no piece."""
+        if not self.byte_ids:
+            return np.ones(len(piece), np.int64)
+        c = piece - len(self.pieces)
+        return 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+
     def search(self, words: list[str]) -> Iterator[tuple[int, ...]]:
         """Ids of each of the sorted ``words``: one walk of their trie."""
         of, longest, score = self.of, self.longest, [0.0]
@@ -182,23 +322,27 @@ class Pieces:
         """Ids of all texts in one array, and where each text begins (length + 1)."""
         split, number = re.compile(self.pattern).findall, Numbers()
         codes = [np.fromiter(map(number.__getitem__, split(MARK + t.replace(" ", MARK))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
-        found = list(map(self.words.__getitem__, number))
-        unknown = sorted(w for w, ids in zip(number, found, strict=True) if ids is None)
-        for word, ids in zip(unknown, self.search(unknown), strict=True):
-            found[number[word]] = ids
-            if len(word) <= LONG:
-                self.words.keep(word, ids)
+        words = sorted(number)
+        alone = [w for w in words if len(w) > LONG] if self.bpe else words
+        near = [w for w in words if len(w) <= LONG] if self.bpe else []
+        walked = [self.walk(near[lo : lo + TOKENS]) for lo in range(0, len(near), TOKENS)]
+        others = list(self.search(alone))
+        ids = np.concatenate([*(x for x, _ in walked), np.fromiter(chain.from_iterable(others), np.int32)])
+        size = np.concatenate([*(n for _, n in walked), np.fromiter(map(len, others), np.int64, len(others))])
         # the ids of each distinct word once, then gathered for all its occurrences
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        del number, found, unknown
-        first = np.cumsum(size) - size
-        at = np.cumsum([0, *(int(size[c].sum()) for c in codes)])
-        out = np.empty(at[-1], np.int32)
-        for c, a, b in zip(codes, at, at[1:], strict=False):
-            long = size[c]
-            out[a:b] = ids[np.repeat(first[c] - (np.cumsum(long) - long), long) + np.arange(b - a)]
-        return out, at
+        rank = np.empty(len(words), np.int64)
+        rank[np.fromiter(map(number.__getitem__, chain(near, alone)), np.int64, len(words))] = np.arange(len(words))
+        first, size = (np.cumsum(size) - size)[rank], size[rank]
+        del number, words, alone, near, walked, others, rank
+        bounds = np.cumsum([0, *map(len, codes)])
+        codes = np.concatenate([np.zeros(0, np.int32), *codes])
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[codes])])
+        out = np.empty(ends[-1], np.int32)
+        for lo in range(0, len(codes), TOKENS):
+            c = codes[lo : lo + TOKENS]
+            a, b = ends[lo : lo + len(c)], ends[lo + len(c)]
+            out[a[0] : b] = ids[np.repeat(first[c] - a, size[c]) + np.arange(a[0], b)]
+        return out, ends[bounds]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text, the mark before its first word left out."""

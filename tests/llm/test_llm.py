@@ -1,8 +1,10 @@
 """Operators for training data: against brute force, round trips, SQL, and on odd tables."""
 
+import cProfile
 import hashlib
 import itertools
 import os
+import pstats
 import random
 import re
 import tracemalloc
@@ -735,6 +737,38 @@ def test_ids_equal_the_library(texts):
         assert ours.decode(ids[at[i] : at[i + 1]]) == t.encode()
 
 
+def test_words_are_searched_together(monkeypatch):
+    """New words cost few steps each; ids are those of merging, whatever the vocabulary and the stores hold."""
+    r, letters = random.Random(4), "abcde"
+    pieces = sentencepieces.load(queries.MODEL)
+    seen, fresh = (" ".join("".join(r.choice("enst") for _ in range(r.randint(8, 14))) for _ in range(20_000)) for _ in range(2))
+    pieces.encode([seen])
+    profile = cProfile.Profile()
+    profile.runcall(pieces.encode, [fresh])
+    assert pstats.Stats(profile).total_calls < 25 * 20_000
+    monkeypatch.setattr(sentencepieces, "PLACES", 4)
+    monkeypatch.setattr(sentencepieces, "TOKENS", 7)
+    for bytes_too in (True, False):
+        for _ in range(30):
+            made = sorted({"".join(r.choice(letters[:3] + "▁é") for _ in range(r.randint(2, 5))) for _ in range(25)})
+            table = ["<unk>", *"▁abé", *made, *(f"<0x{b:02X}>" for b in range(256) if bytes_too)]
+            scores = [0.0] * 5 + [-float(r.randint(1, 12)) for _ in made] + [0.0] * 256 * bytes_too
+            m = sentencepieces.Pieces(table, scores, {b: len(made) + 5 + b for b in range(256)} if bytes_too else {}, {0}, 0, True)
+            many = ["".join(r.choice("abcde é日🤯\n") for _ in range(r.randint(0, 60))) for _ in range(20)] + ["", None, "ab" * 200]
+            ids, at = m.encode(many)
+            for k, t in enumerate(many):
+                want = []
+                for word in re.findall(m.pattern, "▁" + t.replace(" ", "▁")) if t else ():
+                    parts = list(word)  # plain merging
+                    while pairs := [(m.scores[m.of[a + b]], -i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in m.of]:
+                        i = -max(pairs)[1]
+                        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                    for part in parts:
+                        want += [m.of[part]] if part in m.of else [m.byte_ids[b] for b in part.encode()] if bytes_too else [0]
+                assert ids[at[k] : at[k + 1]].tolist() == want, (table, scores, t)
+    assert [len(x) for x in m.encode([])] == [0, 1]
+
+
 def test_ids_become_texts_again(spark, docs, texts):
     pieces = sentencepieces.load(queries.MODEL)
     encoded = sentencepieces.encode(docs.select("doc_id", "text"), pieces, digests=False)

@@ -7,6 +7,7 @@ import os
 import pstats
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm import chat, components, minhash, mixing, quality_classifier, quality_rules, queries, secrets, sentencepieces, suffix_dedup, toxicity, webp
 
@@ -714,6 +716,51 @@ def test_images_are_written_by_tokens_and_read_in_slices(monkeypatch):
     webp._all_numbers.cache_clear()
 
 
+def test_images_are_written_and_read_together(monkeypatch):
+    """A small image costs few calls of its own, and what stands beside an image changes nothing."""
+    r = np.random.default_rng(8)
+    words = [r.integers(97, 123, int(n), dtype=np.uint8).tobytes() + b" " for n in r.integers(2, 9, 400)]
+    texts = [webp.pad(b"".join(words[k] for k in r.zipf(1.3, int(n)) % 400)) for n in r.integers(1, 700, 120)]
+    texts += [webp.pad(x) for x in (b"", b"a", b"ab" * 4000, r.bytes(3000), bytes(range(256)) * 30, r.bytes(60) * 2000)]
+    raws = [None if i % 9 == 0 else x.decode("latin-1") for i, x in enumerate(texts)]
+
+    class Table:  # gives back the function that the query maps
+        columns, schema = ["text"], T.StructType([])
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(webp, "in_batches", lambda df: df)
+    run = webp.store(Table(), media=True)
+    list(run(iter([pa.record_batch([pa.array(["a"])], ["text"])])))  # imports
+    calls = [0]
+
+    def count(frame, event, what):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        (got,) = run(iter([pa.record_batch([pa.array(raws)], ["text"])]))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 1000 * len(raws), calls[0] / len(raws)
+    for raw, row in zip(raws, got.to_pylist(), strict=True):
+        payload = webp.pad((raw or "").encode())
+        assert row["media"] == webp.encode_payload(payload)
+        assert webp._bytes(webp.decode(row["media"]))[..., 2::-1].tobytes() == payload
+        assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+    tools = list(itertools.product(((), ("green",), ("palette",), ("predict", "cross")), (0, 1, 4, 11), (False, True)))
+    px = [r.integers(0, 2**32, 40, dtype=np.uint64).astype(np.uint32)[np.minimum(r.zipf(1.4, (h, w)), 40) - 1] for h, w in ((1, 1), (4, 4), (30, 40))]
+    pairs = [(x, webp.encode_pixels(x, t, 11, *more)) for x in px for t, *more in tools] + [(webp.decode(x), x) for x in got["media"].to_pylist()]
+    for piece, steps in ((64, 3), (2048, 32), (300, 1)):
+        monkeypatch.setattr(webp, "PIECE", piece)
+        monkeypatch.setattr(webp, "STEPS", steps)
+        assert all(np.array_equal(x, y) for (x, _), y in zip(pairs, webp.decode_many([x for _, x in pairs]), strict=True))
+        whole = pairs[-3][1]
+        for cut in (100, 2000, len(whole) - 3):
+            with pytest.raises(ValueError, match="ends early"):
+                webp.decode_many([pairs[0][1], whole[:cut], pairs[-2][1]])
+
+
 def test_columns_of_images_are_read(spark):
     r = np.random.default_rng(5)
     px = r.integers(0, 2**32, 9, dtype=np.uint64).astype(np.uint32)[r.integers(0, 9, (6, 11))]
